@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,3 +61,20 @@ def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` whose function may refer to this package's modules."""
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)
+
+
+HOT_PARTS = 256
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` left-joined with ``keys`` (unique by ``key``, with each key's number of rows in ``count``).
+
+    A key with at least a 256th of all rows is joined by broadcast: there are 256 such keys at
+    most, whatever the data. All others are joined by a shuffle, where none is hot. ``key`` isn't
+    null; ``rows`` should be a stored table, as it is read twice.
+    """
+    total = keys.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.broadcast(keys.filter(F.col(count) * HOT_PARTS >= total))
+    at_hot = rows.join(hot, key)
+    at_rest = rows.join(hot, key, "left_anti").join(keys, key, "left")
+    return at_hot.unionByName(at_rest.select(*at_hot.columns))

@@ -54,21 +54,19 @@ def components(edges: DataFrame) -> DataFrame:
 def link_buckets(members: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``members(key, node long)`` -> ``(node, root)`` of all nodes that are linked to another.
 
-    ``keep`` gets candidate pairs ``(a, b)``, distinct, and returns those that are links. Two nodes
-    of a bucket that link end up with one root, whatever the bucket's size; a pair is left out only
-    if both are known to be of one component or the pair was tried before.
+    ``keep`` gets candidate pairs ``(a, b)``, which may repeat, and returns those that are links. Two
+    nodes of a bucket that link end up with one root, whatever the bucket's size; a pair is left out
+    only if both are known to be of one component or the pair was tried before. ``members`` is
+    computed again for each use, so it should be cheap to derive from a stored table.
     """
-    members = cut(members.distinct())
-    least = members.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    tried = members.join(least, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    stars = cut(keep(tried).select("a", "b"))
+    least = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
+    stars = cut(keep(members.join(least, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))).select("a", "b").distinct())
     labels = components(stars)
-    left = members.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = left.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 2 and lo <> hi").select("key", "first")
-    left = cut(left.join(mixed, "key").filter("node <> first").select("key", "node", "root"))
+    left = cut(members.join(least, "key").filter("node <> first").select("key", "first", "node").join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    mixed = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    left = left.join(mixed, "key")
     x, y = left.toDF("key", "a", "ra"), left.toDF("key", "b", "rb")
-    cross = x.join(y, "key").filter("a < b and ra <> rb").select("a", "b").distinct()
-    more = cut(keep(cross).select("a", "b"))
+    more = cut(keep(x.join(y, "key").filter("a < b and ra <> rb").select("a", "b")).select("a", "b").distinct())
     if more.isEmpty():
         return labels
     return components(stars.unionAll(more))
