@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -43,6 +44,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, kind: str) -> DataFrame:
+    """Write a table to the shared folder and read it back; its lineage ends there."""
+    path = shared_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find shuffles and checkpoints that no plan refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a context, so that their Python workers can import it."""
     context = spark.sparkContext
@@ -57,7 +71,7 @@ def ship(spark: SparkSession) -> None:
     context._package_shipped = True
 
 
-def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` whose function may refer to this package's modules."""
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from shelfmatch.llm._common import map_arrow, table
@@ -209,6 +210,22 @@ def predict(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "tex
     return map_arrow(docs.select(key, F.col(text).cast("string").alias("_text")), run, f"{key} {kind}, lang_pred string, score double, bits_per_byte double")
 
 
+def with_language(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``bits_per_byte`` of each row; columns of those names go."""
+    model = docs.sparkSession.sparkContext.broadcast(trees)
+    added = {"lang_pred": pa.string(), "score": pa.float64(), "bits_per_byte": pa.float64()}
+    names = [c for c in docs.columns if c not in added]
+    kept = docs.select(*names).withColumn(text, F.col(text).cast("string"))
+    schema = StructType([*kept.schema.fields, *(StructField(n, StringType() if n == "lang_pred" else DoubleType()) for n in added)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = model.value.predict(batch.column(names.index(text)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(g, t) for g, t in zip(got, added.values(), strict=True))], [*names, *added])
+
+    return map_arrow(kept, run, schema)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = Trees(sample(docs.filter(learned_from()), "doc_id", "text", "lang"))
