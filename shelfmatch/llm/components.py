@@ -1,9 +1,8 @@
 """Distributed union-find and bucket linking, in DataFrame operations only.
 
-``components`` contracts a graph: every round each node points to the neighbour of least hashed
-priority, edges move to the targets, and loops and repeats go. The expected number of rounds is
-logarithmic in the number of nodes. Labels are found by following the rounds' maps backwards.
-Nothing is collected on the driver but one emptiness test a round.
+``components`` alternates large-star and small-star steps until the edges are stars around the least
+node of each component. A step is an aggregate and a join on the same key; the join's large side is
+split where a key is hot. Nothing is collected on the driver but a count and a checksum a round.
 
 ``link_buckets`` finds the components of "two members of one bucket that pass a test" without
 listing all pairs of a bucket: first each member is tried against the bucket's least member, then
@@ -20,35 +19,34 @@ from pyspark.sql import functions as F
 from shelfmatch.llm._common import cut
 
 
+def _star(edges: DataFrame, both: bool) -> DataFrame:
+    """One step on ``edges(a, b)`` with a > b. Large (both directions): the larger neighbours of each
+    node go to its least neighbour; small: the node and its smaller neighbours do."""
+    near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if both:
+        near = near.unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if both:
+        return near.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    moved = near.join(least, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return moved.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``edges(a long, b long)`` -> ``(node, root)`` for every node that has an edge.
+    """``edges(a long, b long)`` -> ``(node, root)`` for every node that has an edge; ``root`` is the
+    least node of its component.
 
-    ``root`` is one node of the component, the same for all of them. Loops, repeated edges and
-    either direction are allowed; null ends are ignored. No edges give an empty table.
+    Loops, repeated edges and either direction are allowed; null ends are ignored. No edges give an
+    empty table.
     """
-    spark = edges.sparkSession
-    edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    maps = []
-    turn = 0
-    while not edges.isEmpty():
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("p"), F.col(c).alias("n"))  # noqa: B023, E731
-        both = edges.select(F.col("a").alias("node"), F.least(rank("a"), rank("b")).alias("t")).unionAll(
-            edges.select(F.col("b").alias("node"), F.least(rank("a"), rank("b")).alias("t"))
-        )
-        step = cut(both.groupBy("node").agg(F.min("t").alias("t")).select("node", F.col("t.n").alias("root")))
-        maps.append(step)
-        a, b = step.select(F.col("node").alias("a"), F.col("root").alias("ra")), step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = cut(
-            edges.join(a, "a").join(b, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        )
-        turn += 1
-    if not maps:
-        return spark.createDataFrame([], "node long, root long")
-    labels = maps.pop()
-    while maps:
-        upper = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        labels = maps.pop().join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return cut(labels)
+    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+    seen = state(now)
+    while seen[0]:
+        now = cut(_star(_star(now, True), False).distinct())
+        if seen == (seen := state(now)):
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def link_buckets(members: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -69,4 +67,5 @@ def link_buckets(members: DataFrame, keep: Callable[[DataFrame], DataFrame]) ->
     more = cut(keep(x.join(y, "key").filter("a < b and ra <> rb").select("a", "b")).select("a", "b").distinct())
     if more.isEmpty():
         return labels
-    return components(stars.unionAll(more))
+    found = labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(found.unionAll(more))

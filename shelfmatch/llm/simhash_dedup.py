@@ -116,7 +116,8 @@ def ring_test(a: Column, b: Column, distance: int = DISTANCE) -> Column:
 def group(prints: DataFrame, key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """Stored ``key, fp`` rows -> ``key, fp, component_id`` (least key reachable), ``n_fingerprint``
     (rows of the same fingerprint)."""
-    fps = cut(prints.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n_fingerprint")))
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = cut(prints.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n_fingerprint")).repartition(spread, "fp"))  # each row becomes 64
     labels = link_buckets(ring_keys(fps.select("fp"), distance), lambda pairs: pairs.filter(ring_test(F.col("a"), F.col("b"), distance)))
     linked = fps.join(labels.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
