@@ -513,9 +513,9 @@ def recall_by_threshold(spark, sf):
     return by.withColumn("recall", evaluate.ratio("found", "variants"))
 
 
-@query(f"WITH {_CFOUND} SELECT name.cluster, name.d AS variant FROM name WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.cluster = name.cluster AND cs.d = name.d AND cs.sim >= 0.6)")
+@query(f"WITH {_CFOUND} SELECT name.cluster, name.d AS variant FROM name WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.cluster = name.cluster AND cs.d = name.d AND cs.sim >= 0.75)")
 def missing_variants(spark, sf):
-    found = _found(spark, sf).filter("sim >= 0.6").select("cluster", "description")
+    found = _found(spark, sf).filter("sim >= 0.75").select("cluster", "description")
     return _clusters(spark, sf).join(found, ["cluster", "description"], "left_anti").select("cluster", F.col("description").alias("variant"))
 
 
