@@ -36,10 +36,131 @@ LEAST_RUN = 6
 LEAST_SHARE = 0.5
 BITS = 22
 BROADCAST_ROWS = 500_000
+KEEP_WORDS = 200_000
+NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
+NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+UNITS = frozenset("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres mg g kg t lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars cent cents euro euros percent mph kmh hz khz mhz ghz w kw v".split())
+_NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*%?")
+_WITH_UNIT = re.compile(r"([+\-]?[$€£]?\d[\d.,]*)([^\W\d_]+)")
+_EDGE = re.compile(r"\A[\W_]+|[\W_]+\Z")
+_ENDS = ".!?:;"
+_P = 0x9E3779B97F4A7C15 | 1
+
+
+N, U, T, W = 1, 2, 3, 0  # kinds: number, perhaps a unit, title case, plain word
+
+
+def _digest(s: str) -> int:
+    return xxhash.xxh64_intdigest(s, 7)
+
+
+def parts_of(raw: str) -> list[tuple[int, str]]:
+    """(kind, value) of a word's template tokens: none of bare punctuation, two of a number with its unit."""
+    core = _EDGE.sub("", raw)
+    if not core:
+        return []
+    low = core.lower()
+    if low in NUMBER_WORDS or (core[0].isdigit() and _NUMBER.fullmatch(core)):
+        return [(N, low)]
+    if core[0].isdigit() and (m := _WITH_UNIT.fullmatch(core)):
+        return [(N, m[1]), (U, m[2].lower())]
+    if low in UNITS:
+        return [(U, low)]
+    if len(core) > 1 and core[0].isupper() and core[1:].islower():
+        return [(T, low)]
+    return [(W, low)]
+
+
+class _Words(dict):
+    """Word -> its row in ``rows``: (tokens, kind, hash, second kind, second hash, whether it ends a sentence)."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows: list[tuple[int, int, int, int, int, bool]] = []
+        self.values: list[list[str]] = []
+        self.known = 0
+        self.table = [np.zeros(0, k) for k in self._KINDS]
+
+    _KINDS = (np.int64, np.int8, np.uint64, np.int8, np.uint64, bool)
+
+    def columns(self) -> list[np.ndarray]:
+        """The rows as arrays; only rows since the last call are converted."""
+        new = self.rows[self.known :]
+        if new:
+            if len(self.rows) > len(self.table[0]):
+                self.table = [np.concatenate([c[: self.known], np.zeros(2 * len(self.rows) - self.known, c.dtype)]) for c in self.table]
+            for c, v in zip(self.table, zip(*new, strict=True), strict=True):
+                c[self.known : len(self.rows)] = np.array(v, c.dtype)
+            self.known = len(self.rows)
+        return self.table
+
+    def __missing__(self, raw: str) -> int:
+        parts = parts_of(raw)
+        two = [(k, _digest(NUM) if k == N else _digest(v)) for k, v in parts] + [(W, 0)] * (2 - len(parts))
+        self[raw] = at = len(self.rows)
+        self.rows.append((len(parts), *two[0], *two[1], raw[-1] in _ENDS))
+        self.values.append([v for _, v in parts])
+        return at
+
+
+class Templates:
+    """The template tokens of some texts, one behind the other."""
+
+    def __init__(self, texts: list[str | None], words: _Words):
+        flat: list[str] = []
+        counts = []
+        for t in texts:
+            w = (t or "").split()
+            flat += w
+            counts.append(len(w))
+        ids = np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))
+        n, kind, digest, kind2, digest2, ends = words.columns()
+        doc = np.repeat(np.arange(len(texts)), counts)
+        before = np.concatenate([[0], np.cumsum(ends[ids])])  # sentence ends before each word
+        real = np.flatnonzero(n[ids] > 0)
+        again = np.zeros(len(real), bool)  # behind another word of its text
+        again[1:] = doc[real[1:]] == doc[real[:-1]]
+        start = ~again
+        start[1:] |= before[real[1:]] > before[real[:-1]]
+        times = n[ids[real]]
+        at = np.repeat(np.arange(len(real)), times)
+        self.second = np.zeros(len(at), bool)
+        self.second[1:] = at[1:] == at[:-1]
+        self.word = ids[real][at]
+        self.doc = doc[real][at]
+        kinds = np.where(self.second, kind2[self.word], kind[self.word])
+        self.hashes = np.where(self.second, digest2[self.word], digest[self.word])
+        behind_number = np.zeros(len(at), bool)
+        behind_number[1:] = (kinds[:-1] == N) & (self.doc[1:] == self.doc[:-1])
+        unit, name = (kinds == U) & behind_number, (kinds == T) & ~start[at] & ~self.second
+        self.hashes[unit] = _digest(UNIT)
+        self.hashes[name] = _digest(NAME)
+        self.slot = np.where(kinds == N, 1, np.where(unit, 2, np.where(name, 3, 0)))
+        self.sizes = np.bincount(self.doc, minlength=len(texts)) if len(at) else np.zeros(len(texts), np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        self.values = words.values
+
+    def slots(self, p: int, width: int) -> list[str | None]:
+        return [None if not k else " nup"[k] + ":" + self.values[w][int(s)] for k, w, s in zip(self.slot[p : p + width].tolist(), self.word[p : p + width].tolist(), self.second[p : p + width].tolist(), strict=True)]
+
+    def windows(self, width: int) -> np.ndarray:
+        """Hash of the window at each token; 0 where it leaves its text or fewer than half of its tokens are words."""
+        n = len(self.hashes) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        out = np.full(n, width, np.uint64)
+        for j in range(width):
+            out = out * np.uint64(_P) + self.hashes[j : j + n]
+            out ^= out >> np.uint64(29)
+        total = np.concatenate([[0], np.cumsum(self.slot > 0)])
+        out[((total[width:] - total[:-width]) * 2 > width) | (self.doc[:n] != self.doc[width - 1 :])] = 0
+        return out
+
+
+ROWS = 500_000
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = frozenset("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres mg g kg t lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars cent cents euro euros percent mph kmh hz khz mhz ghz w kw v".split())
-_WORD = re.compile(r"[^\x20\x09-\x0d]+")
 _NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*%?")
 _WITH_UNIT = re.compile(r"([+\-]?[$€£]?\d[\d.,]*)([^\W\d_]+)")
 _EDGE = re.compile(r"\A[\W_]+|[\W_]+\Z")
@@ -120,33 +241,36 @@ def windows(hashes: np.ndarray, filled: np.ndarray, width: int) -> np.ndarray:
 ROWS = "{key} {kind}, row long, width int, hash long, pos int, size int, slots array<string>"
 
 
-def _emit(key: str, widths: list[int], bitmap: np.ndarray | None, ids_only_own: bool):
+def _emit(key: str, widths: list[int] | None, bitmap: np.ndarray | None):
+    """Rows of the windows; without ``widths`` each text has windows of its own width."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        canon = Canon()
+        words = _Words()
         row = TaskContext.get().partitionId() << 33
         names = [key, "row", "width", "hash", "pos", "size", "slots"]
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                take, cols = [], [[], [], [], [], [], []]
-                for k, text in enumerate(batch.column(1).to_pylist()):
-                    hashes, slots = canon.template(text)
-                    filled = np.array([s is not None for s in slots], np.int64)
-                    own = [min(len(hashes), WIDTH)] if ids_only_own else widths
-                    for width in own:
-                        if width < SHORTEST:
-                            continue
-                        found = windows(hashes, filled, width)
-                        ok = found != 0
-                        if bitmap is not None and len(found):
-                            spot = (found >> np.uint64(64 - BITS)).astype(np.int64)
-                            ok &= (bitmap[spot >> 3] >> (spot & 7) & 1).astype(bool)
-                        for p in np.flatnonzero(ok).tolist():
-                            take.append(k)
-                            for c, v in zip(cols, (row + k, width, int(found[p].astype(np.int64)), p, len(found), slots[p : p + width]), strict=True):
-                                c.append(v)
+            for at in range(0, whole.num_rows, 100):
+                batch = whole.slice(at, 100)
+                if len(words) > KEEP_WORDS:
+                    words = _Words()
+                t = Templates(batch.column(1).to_pylist(), words)
+                cols = [[], [], [], [], [], []]
+                take = []
+                for width in widths if widths is not None else range(SHORTEST, WIDTH + 1):
+                    found = t.windows(width)
+                    ok = found != 0
+                    if widths is None:
+                        ok &= np.minimum(t.sizes, WIDTH)[t.doc[: len(found)]] == width
+                    if bitmap is not None:
+                        spot = (found >> np.uint64(64 - BITS)).astype(np.int64)
+                        ok &= (bitmap[spot >> 3] >> (spot & 7) & 1).astype(bool)
+                    for p in np.flatnonzero(ok).tolist():
+                        k = int(t.doc[p])
+                        take.append(k)
+                        for c, v in zip(cols, (row + k, width, int(found[p].astype(np.int64)), p - int(t.starts[k]), int(t.sizes[k]) - width + 1, t.slots(p, width)), strict=True):
+                            c.append(v)
                 row += batch.num_rows
                 if take:
                     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
@@ -158,7 +282,7 @@ def _emit(key: str, widths: list[int], bitmap: np.ndarray | None, ids_only_own:
 def template_windows(rows: DataFrame, key: str, text: str, widths: list[int] | None = None, bitmap: np.ndarray | None = None) -> DataFrame:
     """Template windows of each text: of ``width`` (or all of a shorter text), or of the given widths."""
     kind = rows.schema[key].dataType.simpleString()
-    return map_arrow(rows.select(key, F.col(text).cast("string").alias("_text")), _emit(key, widths or [], bitmap, widths is None), ROWS.format(key=key, kind=kind))
+    return map_arrow(rows.select(key, F.col(text).cast("string").alias("_text")), _emit(key, widths, bitmap), ROWS.format(key=key, kind=kind))
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
