@@ -76,7 +76,9 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", vid: s
     for b in range(blocks):
         mine = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b)
         got = mine.toArrow()
-        sent = spark.sparkContext.broadcast((got.column(0).to_pylist(), _matrix(got.column(1))))
+        if not got.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((got.column(0).to_pylist(), _matrix(got.column(1).combine_chunks())))
         best = _best(sent, k, None)
         types = got.schema.field(0).type
 
@@ -86,6 +88,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", vid: s
 
         part = map_arrow(vectors.select(vid, F.col(vector).cast("array<double>").alias("v")), run, schema)
         out = part if out is None else out.unionAll(part)
+    if out is None:
+        out = spark.createDataFrame([], schema)
     by = Window.partitionBy(qid).orderBy(F.round("sim", DIGITS).desc(), vid)
     return out.withColumn("rk", F.row_number().over(by)).filter(F.col("rk") <= k)
 
