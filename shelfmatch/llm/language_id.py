@@ -55,7 +55,7 @@ class Trees:
         counts = [np.stack([np.bincount(c, minlength=a).astype(np.float64) for c in codes])] if raw else []
         if raw:
             counts[0][:, 0] = 0
-        parents, suffixes = [np.zeros(a, np.int64)], [np.zeros(a, np.int64)]
+        parents, suffixes = ([np.zeros(a, np.int64)], [np.zeros(a, np.int64)]) if raw else ([], [])
         levels = [ids]
         for g in range(2, order + 2 if raw else 0):
             before = levels[-1]
