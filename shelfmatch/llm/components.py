@@ -49,14 +49,18 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def link_buckets(members: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(members: DataFrame, keep: Callable[[DataFrame], DataFrame], one_shuffle: bool = False) -> DataFrame:
     """``members(key, node long)`` -> ``(node, root)`` of all nodes that are linked to another.
 
     ``keep`` gets candidate pairs ``(a, b)``, which may repeat, and returns those that are links. Two
     nodes of a bucket that link end up with one root, whatever the bucket's size; a pair is left out
     only if both are known to be of one component or the pair was tried before. ``members`` is
-    computed again for each use, so it should be cheap to derive from a stored table.
+    computed again for each use, so it should be cheap to derive from a stored table. ``one_shuffle``
+    deals the members out by key once for the aggregate and the join: half the shuffle, but a hot key's
+    rows then stream through one task.
     """
+    if one_shuffle:
+        members = members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     least = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
     stars = cut(keep(members.join(least, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))).select("a", "b").distinct())
     labels = components(stars)

@@ -78,11 +78,22 @@ def shingle_set(line: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
 
 
+def _similar(a: Column, b: Column) -> Column:
+    """Exact Jaccard test. What is used twice is bound to a lambda's variable, so that each set is made once."""
+    sets = F.array(F.struct(shingle_set(a).alias("x"), shingle_set(b).alias("y")))
+    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("both"), (F.size(s["x"]) + F.size(s["y"])).alias("all")))
+    return F.exists(sizes, lambda n: n["both"] >= SIMILARITY * (n["all"] - n["both"]))
+
+
+def _stored_signatures(rows: DataFrame, key: str, text: str) -> DataFrame:
+    distinct = occurrences(rows, key, text).groupBy("h").agg(F.first("line").alias("line"))  # equal for all rows of a group
+    return store(signatures(distinct), "signatures")
+
+
 def link_lines(rows: DataFrame, heads: DataFrame, key: str, text: str) -> DataFrame:
     """``node, root`` of all distinct lines that are similar to another."""
     spark = rows.sparkSession
-    distinct = occurrences(rows, key, text).groupBy("h").agg(F.first("line").alias("line"))  # equal for all rows of a group
-    sig = store(signatures(distinct), "signatures")
+    sig = _stored_signatures(rows, key, text)
     release(spark)
     members = sig.select("node", F.explode("bands").alias("key"))
 
@@ -92,11 +103,9 @@ def link_lines(rows: DataFrame, heads: DataFrame, key: str, text: str) -> DataFr
         wanted = nodes.join(heads, "h").select("h", "at")
         texts = cut(occurrences(rows, key, text).join(wanted, ["h", "at"], "left_semi").select("h", "line"))
         a, b = texts.toDF("a", "la"), texts.toDF("b", "lb")
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb"))
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.filter(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common))
+        return pairs.join(a, "a").join(b, "b").filter(_similar(F.col("la"), F.col("lb"))).select("a", "b")
 
-    return link_buckets(members, similar)
+    return link_buckets(members, similar, one_shuffle=True)
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
