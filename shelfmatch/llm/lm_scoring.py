@@ -214,8 +214,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(model)
         mine = docs.filter(share == turn).select(_texts(docs, text))
-        if mine.rdd.getNumPartitions() > MOST_TASKS:
-            mine = mine.coalesce(MOST_TASKS)
+        # a gradient has one size whatever its texts, so there are a few to a core, not one to each file
+        mine = mine.coalesce(min(MOST_TASKS, 2 * spark.sparkContext.defaultParallelism))
         parts = map_arrow(mine, _gradient(sent), "shard int, part int, data binary")
         summed = parts.groupBy("shard", "part").applyInPandas(_added, "shard int, data binary").groupBy("shard").applyInPandas(_added, "shard int, data binary")
         got = {r["shard"]: np.frombuffer(r["data"], np.float32) for r in summed.collect()}
