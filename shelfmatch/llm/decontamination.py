@@ -157,87 +157,6 @@ class Templates:
         return out
 
 
-ROWS = 500_000
-NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
-NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-UNITS = frozenset("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres mg g kg t lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars cent cents euro euros percent mph kmh hz khz mhz ghz w kw v".split())
-_NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*%?")
-_WITH_UNIT = re.compile(r"([+\-]?[$€£]?\d[\d.,]*)([^\W\d_]+)")
-_EDGE = re.compile(r"\A[\W_]+|[\W_]+\Z")
-_ENDS = ".!?:;"
-_P = 0x9E3779B97F4A7C15 | 1
-
-
-class Canon:
-    """Words -> template tokens; keeps the forms of words it has seen, up to ``keep``."""
-
-    def __init__(self, keep: int = 200_000):
-        self.keep, self.forms = keep, {}
-
-    def form(self, raw: str) -> tuple[tuple[str, str, int], ...]:
-        """((kind, value, hash of a plain token), ...) of a word; kind N: number, U: perhaps a unit, T: title case, W: word."""
-        core = _EDGE.sub("", raw)
-        if not core:
-            return ()
-        digest = lambda s: xxhash.xxh64_intdigest(s, 7)
-        low = core.lower()
-        if low in NUMBER_WORDS or (core[0].isdigit() and _NUMBER.fullmatch(core)):
-            return (("N", low, digest(NUM)),)
-        if core[0].isdigit() and (m := _WITH_UNIT.fullmatch(core)):
-            return (("N", m[1], digest(NUM)), ("U", m[2].lower(), digest(m[2].lower())))
-        if low in UNITS:
-            return (("U", low, digest(low)),)
-        if len(core) > 1 and core[0].isupper() and core[1:].islower():
-            return (("T", low, digest(low)),)
-        return (("W", low, digest(low)),)
-
-    def template(self, text: str | None) -> tuple[np.ndarray, list[str | None]]:
-        """(hashes of the template's tokens, the typed value of each slot or None)."""
-        forms, hashes, slots = self.forms, [], []
-        start, after_number = True, False
-        name, unit = xxhash.xxh64_intdigest(NAME, 7), xxhash.xxh64_intdigest(UNIT, 7)
-        if len(forms) > self.keep:
-            forms.clear()
-        for raw in _WORD.findall(text or ""):
-            got = forms.get(raw)
-            if got is None:
-                got = forms[raw] = (self.form(raw), raw[-1] in _ENDS)
-            for kind, value, h in got[0]:
-                if kind == "W":
-                    hashes.append(h)
-                    slots.append(None)
-                elif kind == "N":
-                    hashes.append(h)
-                    slots.append("n:" + value)
-                elif kind == "U" and after_number:
-                    hashes.append(unit)
-                    slots.append("u:" + value)
-                elif kind == "T" and not start:
-                    hashes.append(name)
-                    slots.append("p:" + value)
-                else:
-                    hashes.append(h)
-                    slots.append(None)
-                after_number = kind == "N"
-                start = False
-            start = start and not got[0] or got[1]
-        return np.array(hashes, np.uint64), slots
-
-
-def windows(hashes: np.ndarray, filled: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each window, 0 where fewer than half of its tokens are words."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.full(n, width, np.uint64)
-    for j in range(width):
-        out = out * np.uint64(_P) + hashes[j : j + n]
-        out ^= out >> np.uint64(29)
-    total = np.concatenate([[0], np.cumsum(filled)])
-    out[(total[width:] - total[:-width]) * 2 > width] = 0
-    return out
-
-
 ROWS = "{key} {kind}, row long, width int, hash long, pos int, size int, slots array<string>"
 
 
