@@ -7,7 +7,7 @@ same place are candidates (a Hamming-table join: two descriptors that differ in
 share one). For a candidate pair all descriptors are compared, and matches vote for a common turn, scale
 and shift; a pair with ``VOTES`` agreeing matches is a link. Classes are components of links.
 
-Images with equal bytes are one node, and a word's images are never paired with all others
+Descriptors are made where the bytes are read, and only they are shuffled. Images with equal bytes are one node, and a word's images are never paired with all others
 (``components.link_buckets``).
 
 Images are binary PGM (P5, 8 bits). Defined results: null bytes, bytes of another format and images too
@@ -136,16 +136,19 @@ def agreeing(sa: np.ndarray, wa: np.ndarray, sb: np.ndarray, wb: np.ndarray) ->
     return max(min(len(set(i[s].tolist())), len(set(j[s].tolist()))) for s in same)
 
 
-def _spread(media: DataFrame) -> DataFrame:
+def _spread(media: DataFrame, key: str) -> DataFrame:
+    """``key, node, spots, words`` of every row, ``node`` a hash of its bytes; the bytes go no further."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [descriptors(pixels_of(x)) for x in batch.column(1).to_pylist()]
+            got = [descriptors(pixels_of(x)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.ravel().tolist() for s, _ in got], pa.list_(pa.int32())), pa.array([w.ravel().view(np.int64).tolist() for _, w in got], pa.list_(pa.int64()))],
-                ["node", "spots", "words"],
+                [batch.column(0), batch.column(1), pa.array([s.ravel().tolist() for s, _ in got], pa.list_(pa.int32())), pa.array([w.ravel().view(np.int64).tolist() for _, w in got], pa.list_(pa.int64()))],
+                [key, "node", "spots", "words"],
             )
 
-    return map_arrow(media.select("node", "data"), run, "node long, spots array<int>, words array<long>")
+    kind = media.schema[key].dataType.simpleString()
+    return map_arrow(media.select(key, "node", "data"), run, f"{key} {kind}, node long, spots array<int>, words array<long>")
 
 
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,11 +161,11 @@ def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def copies(media: DataFrame, key: str = "media_id", data: str = "data") -> DataFrame:
     """``key, class_id`` (least key of the class), ``n_equal`` (rows of the same bytes), of every row."""
-    rows = store(media.select(key, F.col(data).alias("data"), F.xxhash64(data).alias("node")), "media")
-    given = rows.filter("data is not null")
-    distinct = given.groupBy("node").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n_equal"), F.first("data").alias("data"))  # equal for all rows of a node
-    heads = store(distinct, "images")
-    found = store(_spread(heads), "descriptors")
+    bytes_of = media.select(key, F.col(data).alias("data"))
+    rows = store(_spread(bytes_of.withColumn("node", F.when(F.col("data").isNotNull(), F.xxhash64("data"))), key), "descriptors")
+    given = rows.filter("node is not null")
+    heads = store(given.groupBy("node").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n_equal")), "images")
+    found = cut(given.groupBy("node").agg(F.first("spots").alias("spots"), F.first("words").alias("words")))  # equal for all rows of a node
     table_of = F.transform("words", lambda w, i: F.xxhash64(w, F.pmod(i, F.lit(4))))
     members = found.select("node", F.explode(F.array_distinct(table_of)).alias("key"))
 
@@ -178,7 +181,7 @@ def copies(media: DataFrame, key: str = "media_id", data: str = "data") -> DataF
     least = named.filter("root is not null").groupBy("root").agg(F.min("first").alias("far"))
     ids = cut(named.join(least, "root", "left").select("node", F.coalesce("far", "first").alias("class_id"), "n_equal"))
     out = join_hot(given.select(key, "node"), ids, "node", "n_equal").select(key, "class_id", "n_equal")
-    return out.unionByName(rows.filter("data is null").select(key, F.col(key).alias("class_id"), F.lit(1).cast("long").alias("n_equal")))
+    return out.unionByName(rows.filter("node is null").select(key, F.col(key).alias("class_id"), F.lit(1).cast("long").alias("n_equal")))
 
 
 SIDE = 96
