@@ -43,6 +43,7 @@ BUCKETS = (4096, 4096, 2048)  # last word; last two; last but one
 ACTIVE = len(BUCKETS) + 1
 ROUNDS = 3
 PRIOR = 1.0
+LIMIT = 12.0  # of a weight's size, but for the bias
 SHARDS, FAN, MOST_TASKS = 16, 64, 4096
 FLUSH = 300_000
 STEP = 1 << 15  # tokens whose softmax is held at once
@@ -112,14 +113,29 @@ class Model:
         rows = [1 + mix(one, a), 1 + a + mix(one * np.uint64(1_000_003) + two, b), 1 + a + b + mix(two + np.uint64(7), c)]
         return [r.astype(np.int64) for r in rows]
 
-    def log_classes(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Natural logarithms of the class probabilities."""
-        w = self.weights
-        z = w[rows[0]] + w[0]
+    def factors(self) -> np.ndarray:
+        """Exponentials of the weights, once a task; the bias is in those of the last word. Weights keep to
+        LIMIT, so products of a factor of each feature stay far from a float's bounds."""
+        out = np.exp(self.weights)
+        out[1 : 1 + BUCKETS[0]] *= out[0]
+        return out
+
+    def classes(self, factors: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(unnormalised class probabilities of each token, their sums)."""
+        z = np.take(factors, rows[0], axis=0)
         for r in rows[1:]:
-            z += w[r]
-        z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+            z *= np.take(factors, r, axis=0)
+        return z, z @ np.ones(CLASSES, np.float32)
+
+    def log_classes(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Natural logarithms of all class probabilities."""
+        z, total = self.classes(self.factors(), rows)
+        return np.log(z) - np.log(total)[:, None]
+
+    def log_class(self, factors: np.ndarray, rows: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of each token's class."""
+        z, total = self.classes(factors, rows)
+        return np.log(z[np.arange(len(cls)), cls].astype(np.float64)) - np.log(total.astype(np.float64))
 
     def lookup(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         words, starts = [], []
@@ -171,7 +187,8 @@ def _gradient(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        seen = np.zeros(m.weights.shape, np.float64)
+        factors = m.factors()
+        seen = np.zeros(m.weights.size, np.float64)
         due = np.zeros(m.weights.shape, np.float64)
         some = False
         for block in _blocks(batches, 0):
@@ -180,17 +197,18 @@ def _gradient(model):
             some = True
             for at in range(0, len(ids), STEP):
                 part, c = [r[at : at + STEP] for r in rows], cls[at : at + STEP]
-                p = np.exp(m.log_classes(part))
+                p, total = m.classes(factors, part)
+                p /= total[:, None]
                 due[0] += p.sum(0)
-                seen[0] += np.bincount(c, minlength=CLASSES)
+                seen[:CLASSES] += np.bincount(c, minlength=CLASSES)
                 for r in part:
                     order = np.argsort(r.astype(np.uint16), kind="stable")
                     run_of = r[order]
                     first = np.flatnonzero(np.concatenate([[True], run_of[1:] != run_of[:-1]]))
                     due[run_of[first]] += np.add.reduceat(p[order], first, axis=0)
-                    seen += np.bincount(r * CLASSES + c, minlength=seen.size).reshape(seen.shape)
+                    np.add.at(seen, r * CLASSES + c, 1.0)
         if some:
-            both = np.stack([seen, due], 2).astype(np.float32)
+            both = np.stack([seen.reshape(due.shape), due], 2).astype(np.float32)
             part = TaskContext.get().partitionId() % FAN
             shards = [x.tobytes() for x in np.array_split(both, SHARDS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array([part] * SHARDS, pa.int32()), pa.array(shards, pa.binary())], ["shard", "part", "data"])
@@ -222,7 +240,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
         sent.unpersist()
         if got:
             both = np.concatenate([got[k] for k in range(SHARDS)]).reshape(-1, CLASSES, 2).astype(np.float64)
-            model.weights = (model.weights + np.log((both[..., 0] + PRIOR) / (both[..., 1] + PRIOR)) / ACTIVE).astype(np.float32)
+            weights = model.weights + np.log((both[..., 0] + PRIOR) / (both[..., 1] + PRIOR)) / ACTIVE
+            weights[1:] = np.clip(weights[1:], -LIMIT, LIMIT)
+            model.weights = weights.astype(np.float32)
     return model, counts
 
 
@@ -240,11 +260,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
         m: Model = sent.value
         row = TaskContext.get().partitionId() << 33
         first = len(m.cls) - HASHED
+        factors = m.factors()
         for block in _blocks(batches, 1):
             ids, starts, words = m.lookup(block.column(1).to_pylist())
             rows, cls, logs = m.features(ids, starts), m.cls[ids], np.empty(len(ids))
             for at in range(0, len(ids), STEP):
-                logs[at : at + STEP] = m.log_classes([r[at : at + STEP] for r in rows])[np.arange(len(ids[at : at + STEP])), cls[at : at + STEP]]
+                logs[at : at + STEP] = m.log_class(factors, [r[at : at + STEP] for r in rows], cls[at : at + STEP])
             known = ids < first
             total = np.add.reduceat(logs / np.log(10) + m.inner[ids], starts)
             base = np.add.reduceat(m.base[ids], starts)
