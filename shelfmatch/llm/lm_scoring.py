@@ -3,7 +3,7 @@
 The model is log-linear over classes of words: p(w | h) = p(class(w) | h) p(w | class(w)). The class is a
 softmax over hashed features of the history h: the last word, the last two words, and the last but one
 (a skip feature), and a bias. Frequent words are classes of their own, the other words of a bounded
-vocabulary share classes of about equal mass, and all remaining words share hashed classes. Within a class
+vocabulary (all words from some count on) share classes of about equal mass, and all remaining words share hashed classes. Within a class
 words go by their count, in a hashed class with 0.1 added and one more unit for the words never seen.
 So the probabilities of all words, an unseen one of each hashed class and the end add up to one.
 
@@ -155,9 +155,29 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int, rows: int = 64) -> I
             yield batch.slice(at, rows)
 
 
+def _frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The words, by falling count, of all counts from the least step on that leaves ``most`` words at the most.
+
+    Steps are single counts up to 4,096 and 64 to an octave beyond, so the driver gets a few thousand of
+    them and then the words themselves, not every partition's most frequent.
+    """
+    step = F.when(F.col("n") <= 4096, F.col("n")).otherwise(4097 + F.floor(F.log2(F.col("n") / 4096) * 64))
+    steps = sorted(((r["step"], r["v"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v")).collect()), reverse=True)
+    least, held = None, 0
+    for at, v in steps:
+        held += v
+        if held > most:
+            break
+        least = at
+    if least is None:
+        return []
+    got = counts.filter(step >= least).select("word", "n").toArrow()
+    return sorted(zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True), key=lambda w: (-w[1], w[0]))
+
+
 def _new_model(spark: SparkSession, counts: DataFrame, vocabulary: int) -> Model:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    top = _frequent(counts, vocabulary)
     size = np.array([n for _, n in top], np.float64)
     cls = np.zeros(len(top) + HASHED, np.int64)
     cls[: min(SINGLE, len(top))] = np.arange(min(SINGLE, len(top)))
