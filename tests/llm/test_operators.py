@@ -147,6 +147,15 @@ def _plain_bits(texts, text, order):
     return bits
 
 
+def test_lm_vocabulary_goes_by_counts(spark):
+    words = [(b"w%d" % i, n) for i, n in enumerate([9000, 9001, 5000, 4097, 4096, 7, 7, 7, 2, 1, 1, 1])]
+    counts = spark.createDataFrame(words, "word binary, n long")
+    ranked = sorted(words, key=lambda w: (-w[1], w[0]))
+    for most, held in [(0, 0), (1, 0), (2, 2), (5, 5), (7, 5), (8, 8), (11, 9), (12, 12), (99, 12)]:
+        assert lm_scoring._frequent(counts, most) == ranked[:held]
+    assert lm_scoring._frequent(counts.limit(0), 5) == []
+
+
 def test_language_code_lengths(spark, monkeypatch):
     texts = {"a": [b"banana band", b"bandana", b""], "b": [b"cabbage cab", b"a cab"]}
     trees = language_id.Trees(texts, 3)
