@@ -6,7 +6,8 @@ import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,23 @@ def store(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, by: str, kind: str) -> Iterator[DataFrame]:
+    """Write a table to the shared folder in buckets of ``by``, as many as there are shuffle partitions: what
+    groups or joins it by that column needs no shuffle of it. The table goes when the context ends."""
+    spark = df.sparkSession
+    path = shared_path(spark, kind)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, by).option("path", path).option("compression", "zstd").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner find shuffles and checkpoints that no plan refers to any more."""
     gc.collect()

@@ -3,9 +3,9 @@
 Lines are compared by their sets of character shingles of length ``SHINGLE``. A signature has
 BANDS x ROWS minima: shingle hashes under exclusive-or with fixed masks, of which each orders the hashes
 anew; lines of 64 shingles or more use those whose hash is divisible by 4, of 256 or more by 16 (lines up to a
-quarter beyond a bound have both signatures, so similar lines without repeats have one in common). Lines that share a band are candidates,
-the exact Jaccard similarity of their full shingle sets decides, and a distributed union-find joins links to
-components. Of each component the first line (by document key, then place) stays, in its document.
+quarter beyond a bound have both signatures, so similar lines without repeats have one in common). Lines that
+share a band are candidates, the exact Jaccard similarity of their full shingle sets decides, and a distributed
+union-find joins links to components. Of each component the first line (by document key, then place) stays, in its document.
 
 Equal lines are one node, so copies cost a row each and no pairs. A line is known by its 64-bit hash.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmatch.llm._common import cut, join_hot, release, store, table
+from shelfmatch.llm._common import bucketed, cut, join_hot, release, store, table
 from shelfmatch.llm.components import link_buckets
 
 SHINGLE = 8
@@ -92,27 +92,26 @@ def _similar(a: Column, b: Column) -> Column:
     return F.exists(sizes, lambda n: n["both"] >= SIMILARITY * (n["all"] - n["both"]))
 
 
-def _stored_signatures(rows: DataFrame, key: str, text: str) -> DataFrame:
-    distinct = occurrences(rows, key, text).groupBy("h").agg(F.first("line").alias("line"))  # equal for all rows of a group
-    return store(signatures(distinct), "signatures")
-
+def link_lines(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``node, root`` of all distinct lines that are similar to another.
 
-def link_lines(rows: DataFrame, heads: DataFrame, key: str, text: str) -> DataFrame:
-    """``node, root`` of all distinct lines that are similar to another."""
+    The distinct lines are dealt out by hash once and kept in buckets, so signatures and the lines that
+    candidates need come from them without another shuffle of text."""
     spark = rows.sparkSession
-    sig = _stored_signatures(rows, key, text)
-    release(spark)
-    members = sig.select("node", F.explode("bands").alias("key"))
+    distinct = occurrences(rows, key, text).groupBy("h").agg(F.first("line").alias("line"))  # equal for all rows of a group
+    with bucketed(distinct, "h", "distinct") as lines:
+        release(spark)
+        sig = store(signatures(lines), "signatures")
+        members = sig.select("node", F.explode("bands").alias("key"))
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
-        nodes = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-        wanted = nodes.join(heads, "h").select("h", "at")
-        texts = cut(occurrences(rows, key, text).join(wanted, ["h", "at"], "left_semi").select("h", "line"))
-        a, b = texts.toDF("a", "la"), texts.toDF("b", "lb")
-        return pairs.join(a, "a").join(b, "b").filter(_similar(F.col("la"), F.col("lb"))).select("a", "b")
+        def similar(pairs: DataFrame) -> DataFrame:
+            pairs = cut(pairs.distinct())
+            nodes = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
+            texts = cut(lines.join(nodes.hint("shuffle_hash"), "h", "left_semi").select("h", "line"))
+            a, b = texts.toDF("a", "la"), texts.toDF("b", "lb")
+            return pairs.join(a, "a").join(b, "b").filter(_similar(F.col("la"), F.col("lb"))).select("a", "b")
 
-    return link_buckets(members, similar, one_shuffle=True)
+        return link_buckets(members, similar, one_shuffle=True)
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,7 +121,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     occ = store(occurrences(docs, key, text).select("h", "at"), "lines")
     heads = store(occ.groupBy("h").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")), "heads")
-    labels = link_lines(docs, heads, key, text)
+    labels = link_lines(docs, key, text)
     release(spark)
     rooted = heads.join(labels.withColumnRenamed("node", "h"), "h", "left")
     alone = rooted.filter("root is null and n > 1").select("h", F.col("at").alias("keep"), "n")
