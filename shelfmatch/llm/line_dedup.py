@@ -1,10 +1,8 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
 Lines are compared by their sets of character shingles of length ``SHINGLE``. A signature has
-BANDS x ROWS minima: shingle hashes under exclusive-or with fixed masks, of which each orders the hashes
-anew; lines of 64 shingles or more use those whose hash is divisible by 4, of 256 or more by 16 (lines up to a
-quarter beyond a bound have both signatures, so similar lines without repeats have one in common). Lines that
-share a band are candidates, the exact Jaccard similarity of their full shingle sets decides, and a distributed
+BANDS x ROWS minima over all shingles, whatever the line's length: shingle hashes under exclusive-or with fixed
+masks, of which each orders the hashes anew. Lines that share a band are candidates, the exact Jaccard similarity of their full shingle sets decides, and a distributed
 union-find joins links to components. Of each component the first line (by document key, then place) stays, in its document.
 
 Equal lines are one node, so copies cost a row each and no pairs. A line is known by its 64-bit hash.
@@ -27,7 +25,6 @@ SHINGLE = 8
 MIN_CHARS = 20
 BANDS, ROWS = 9, 4
 SIMILARITY = 0.8
-STEPS = ((64, 80), (256, 320))
 BLOCK = 1 << 14
 
 
@@ -54,30 +51,21 @@ def _blocks(rows: DataFrame) -> DataFrame:
     """Cut ``line`` into overlapping blocks that hold ``BLOCK`` shingles each at most, four bytes a character."""
     n = F.length("line") - (SHINGLE - 1)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")))
-    rows = rows.select("h", "kind", "line", F.explode(starts).alias("b"))
-    return rows.select("h", "kind", F.encode(F.substring(F.col("line"), F.col("b") * BLOCK + 1, F.lit(BLOCK + SHINGLE - 1)), "UTF-32").alias("part"))
-
-
-def kinds_of(n: Column) -> Column:
-    """The kinds of signature of a line of ``n`` shingles: kind k takes the hashes divisible by 4 ** k."""
-    (few, few_too), (more, more_too) = STEPS
-    out = F.when(n < few, F.array(F.lit(0))).when(n <= few_too, F.array(F.lit(0), F.lit(1))).when(n < more, F.array(F.lit(1)))
-    return out.when(n <= more_too, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
+    rows = rows.select("h", "line", F.explode(starts).alias("b"))
+    return rows.select("h", F.encode(F.substring(F.col("line"), F.col("b") * BLOCK + 1, F.lit(BLOCK + SHINGLE - 1)), "UTF-32").alias("part"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """Distinct ``h, line``, clustered by ``h``, -> ``node, bands array<long>``; no shuffle of its own.
 
     Shingles are cut from characters of a fixed width, as a place in UTF-8 is only found by counting from the start."""
-    rows = _blocks(lines.select("h", "line", F.explode(kinds_of(F.length("line") - (SHINGLE - 1))).alias("kind")))
+    rows = _blocks(lines.select("h", "line"))
     places = F.sequence(F.lit(1), F.length("part") - (4 * SHINGLE - 1), F.lit(4))
-    rows = rows.select("h", "kind", "part", F.explode(places).alias("p"))
-    rows = rows.select("h", "kind", F.xxhash64(F.substring(F.col("part"), F.col("p"), F.lit(4 * SHINGLE))).alias("s"))
-    low = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 1, 3).otherwise(15).cast("long")
-    rows = rows.filter(F.col("s").bitwiseAND(low) == 0)
+    rows = rows.select("h", "part", F.explode(places).alias("p"))
+    rows = rows.select("h", F.xxhash64(F.substring(F.col("part"), F.col("p"), F.lit(4 * SHINGLE))).alias("s"))
     masks = _masks()
-    sig = rows.groupBy("h", "kind").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)])
-    bands = [F.xxhash64(F.lit(b), "kind", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
+    sig = rows.groupBy("h").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)])
+    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     return sig.select(F.col("h").alias("node"), F.array(*bands).alias("bands"))
 
 

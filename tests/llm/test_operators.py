@@ -295,6 +295,18 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_signatures_use_all_shingles(spark):
+    rnd = random.Random(9)
+    made = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    pairs = [(x, x + x) for x in (made(rnd.randint(66, 70)) for _ in range(40))]
+    for n in (2, 3, 9, 19):
+        pairs += [((unit * 400)[:400], (unit * 400)[: 400 + n]) for unit in (made(n) for _ in range(20))]
+    pairs = [(2 * k, a, 2 * k + 1, b) for k, (a, b) in enumerate(pairs)]
+    lines = spark.createDataFrame([x for h, a, g, b in pairs for x in ((h, a), (g, b))], "h long, line string")
+    bands = {r.node: set(r.bands) for r in line_dedup.signatures(lines).collect()}
+    assert all(bands[h] & bands[g] for h, _, g, _ in pairs)
+
+
 def test_decontamination(spark):
     rnd = random.Random(8)
     item = "Tom has 12 apples and gives 5 kg of them to Anna before the long walk home with 12 friends near the old mill"
