@@ -7,7 +7,8 @@ union-find joins links to components. Of each component the first line (by docum
 
 Equal lines are one node, so copies cost a row each and no pairs. A line is known by its 64-bit hash.
 
-Lines of fewer than ``MIN_CHARS`` characters are always kept: they are too common to tell copies by.
+Lines of fewer than ``MIN_CHARS`` characters have no shingle and are compared whole. ``dedup_lines`` leaves those
+of fewer than ``least`` characters as they are, and blank ones among them in any case.
 Defined results: a null text stays null and has no lines; an empty text stays as it is; equal keys are told
 apart by the row's place in the table; repeated rows lose their lines to the first; empty tables give
 no rows; all other columns are kept as they are.
@@ -22,7 +23,7 @@ from shelfmatch.llm._common import bucketed, cut, join_hot, release, store, tabl
 from shelfmatch.llm.components import link_buckets
 
 SHINGLE = 8
-MIN_CHARS = 20
+MIN_CHARS = SHINGLE
 BANDS, ROWS = 9, 4
 SIMILARITY = 0.8
 BLOCK = 1 << 14
@@ -41,10 +42,11 @@ def _with_rows(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_rid", F.monotonically_increasing_id())
 
 
-def occurrences(rows: DataFrame, key: str, text: str) -> DataFrame:
+def occurrences(rows: DataFrame, key: str, text: str, least: int = MIN_CHARS) -> DataFrame:
     """``h, at(key, rid, pos), line`` of each line that is long enough."""
     each = rows.select(F.col(key).alias("k"), F.col("_rid").alias("rid"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("pos", "line"))
-    return each.filter(F.length("line") >= MIN_CHARS).select(F.xxhash64("line").alias("h"), F.struct("k", "rid", "pos").alias("at"), "line")
+    whole = (F.length("line") >= least) & F.col("line").rlike(r"\S")
+    return each.filter((F.length("line") >= MIN_CHARS) | whole).select(F.xxhash64("line").alias("h"), F.struct("k", "rid", "pos").alias("at"), "line")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -102,12 +104,12 @@ def link_lines(rows: DataFrame, key: str, text: str) -> DataFrame:
         return link_buckets(members, similar, one_shuffle=True)
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_CHARS) -> DataFrame:
     """``rid, drops array<int>``: places of the lines to remove, of each row that has any.
 
     ``docs`` has ``_rid``, the row's number."""
     spark = docs.sparkSession
-    occ = store(occurrences(docs, key, text).select("h", "at"), "lines")
+    occ = store(occurrences(docs, key, text, least).select("h", "at"), "lines")
     heads = store(occ.groupBy("h").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")), "heads")
     labels = link_lines(docs, key, text)
     release(spark)
@@ -122,12 +124,13 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return gone.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_set("at.pos").alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``n_lines``, ``dropped`` (the
-    places, from 0, of the lines that were taken out, in order)."""
+    places, from 0, of the lines that were taken out, in order). Lines of fewer than ``least`` characters
+    stay; 1 takes in all lines that aren't blank."""
     names = [c for c in docs.columns if c not in ("n_lines", "dropped")]
     rows = _with_rows(docs.select(*names))
-    drops = repeated_lines(rows.select(key, text, "_rid"), key, text)
+    drops = repeated_lines(rows.select(key, text, "_rid"), key, text, least)
     out = rows.join(drops.withColumnRenamed("rid", "_rid"), "_rid", "left")
     lines = F.split(F.col(text).cast("string"), "\n", -1)
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops")), lambda i: F.get(lines, i)), "\n")
@@ -139,4 +142,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)

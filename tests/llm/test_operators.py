@@ -307,6 +307,13 @@ def test_line_signatures_use_all_shingles(spark):
     assert all(bands[h] & bands[g] for h, _, g, _ in pairs)
 
 
+def test_short_lines_are_deduplicated(spark, tmp_path):
+    rows = [(1, "Les.\nx\n\nOf, edti oner.\nLes."), (2, "  \nOf, edti oner.\nLes.\ny"), (3, "\n\n  \nOf, edti onerX\nx")]
+    _docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.dropped) for r in line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: ("Les.\nx\n\nOf, edti oner.", [4]), 2: ("  \ny", [1, 2]), 3: ("\n\n  \nOf, edti onerX", [4])}
+
+
 def test_decontamination(spark):
     rnd = random.Random(8)
     item = "Tom has 12 apples and gives 5 kg of them to Anna before the long walk home with 12 friends near the old mill"
