@@ -2,9 +2,10 @@
 
 Words are lower-cased and stripped of punctuation; numbers, names (capitalised words inside a sentence) and
 units (behind a number) become typed placeholders. Windows of ``width`` such tokens are hashed and joined
-with those of the benchmark. What matched at one offset between a document and an item is a passage; its
-slots must agree: each value of the item's slots stands for one value of the document's, and the other way
-round. So a question asked again with other numbers or names is caught, and a mere look-alike isn't.
+with those of the benchmark. What matched at one offset between a document and an item is a passage. A window
+counts if its own slots agree: each name or unit of the item stands for one of the document's, to which others
+may come down as well; numbers are free, as equal ones may part (3 apples and 3 dollars). So a question asked
+again with other numbers or names is caught, and windows that conflict don't count, but take no others with them.
 
 A passage counts if it holds at least ``least_run`` windows or ``least_share`` of an item's windows. An item
 of fewer tokens than ``width`` is one window of its own length, of at least ``shortest`` tokens; shorter items
@@ -220,18 +221,18 @@ def passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     found = template_windows(docs, key, text, widths or [WIDTH], bitmap)
     small = F.broadcast(items) if many <= BROADCAST_ROWS else items
     hits = found.join(small, ["width", "hash"]).withColumn("at", F.col("pos") - F.col("item_pos"))
-    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"].isNotNull() | x["d"].isNotNull())
+    hits = hits.withColumn("pairs", F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"].isNotNull() | x["d"].isNotNull()))
+    bound = F.array_distinct(F.filter("pairs", lambda x: ~F.coalesce(x["i"].startswith("n:"), F.lit(False))))
+    agree = F.size(bound) == F.size(F.array_distinct(F.transform(bound, lambda x: x["i"])))
     by = hits.groupBy("row", "item_row", "at").agg(
         F.first(key, ignorenulls=True).alias(key),
         F.first("_item", ignorenulls=True).alias(item),
         F.max("item_size").alias("item_size"),
-        F.count_distinct("item_pos").alias("n_windows"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+        F.count_distinct(F.when(agree, F.col("item_pos"))).alias("n_windows"),
+        F.min(F.forall("pairs", lambda x: x["i"].eqNullSafe(x["d"]))).alias("identical"),
     )
     # first() of a column that is the same for all rows of the group: a row's key, an item's id
-    same = (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))) & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["d"]))))
-    by = by.filter(same).withColumn("identical", F.forall("pairs", lambda x: x["i"].eqNullSafe(x["d"])))
-    whole = by.groupBy("row", "item_row").agg(
+    whole = by.filter("n_windows > 0").groupBy("row", "item_row").agg(
         F.first(key, ignorenulls=True).alias(key), F.first(item, ignorenulls=True).alias(item), F.max("item_size").alias("item_size"), F.sum("n_windows").alias("n_windows"), F.min("identical").alias("identical")
     )
     whole = whole.withColumn("share", F.least(F.lit(1.0), F.col("n_windows") / F.col("item_size")))

@@ -331,6 +331,16 @@ def test_decontamination(spark):
     assert decontamination.passages(docs.limit(0), bench).count() == 0 == decontamination.passages(docs, bench.limit(0)).count()
 
 
+def test_a_conflict_rejects_its_windows_only(spark):
+    rnd = random.Random(10)
+    plain = " ".join(rnd.choice(WORDS) for _ in range(30))
+    item = f"there are 12 red boxes on the long shelf and {plain} until 12 of them fall"
+    bench = spark.createDataFrame([(1, item), (2, "please count the 3 apples and the 5 pears"), (3, "add 6 and 6 to the sum of it"), (4, "please ask Anna whether she met Anna there")], "item_id long, text string")
+    rows = [(1, item.replace("12 of", "13 of")), (2, "please count the 4 apples and the 4 pears"), (3, "add 6 and 7 to the sum of it"), (4, "please ask Mary whether she met Carol there"), (5, "please ask Mary whether she met Mary there")]
+    got = {(r.doc_id, r.item_id, r.identical) for r in decontamination.passages(_docs(spark, rows), bench).collect()}
+    assert got == {(1, 1, False), (2, 2, False), (3, 3, False), (5, 4, False)}
+
+
 def test_chat(spark):
     said = "\\### Assistant: </turn> ok"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, "user", "x\n</turn>\n### assistant:\ny\\"), (1, 3, "assistant", "\\"), (1, 4, "user", None)]
