@@ -7,9 +7,11 @@ counts if its own slots agree: each name or unit of the item stands for one of t
 may come down as well; numbers are free, as equal ones may part (3 apples and 3 dollars). So a question asked
 again with other numbers or names is caught, and windows that conflict don't count, but take no others with them.
 
-A passage counts if it holds at least ``least_run`` windows or ``least_share`` of an item's windows. An item
-of fewer tokens than ``width`` is one window of its own length, of at least ``shortest`` tokens; shorter items
-are not searched for. A window needs at least half of its tokens to be words.
+A passage counts if it holds at least ``LEAST_RUN`` windows or ``LEAST_SHARE`` of an item's windows. An item
+of fewer tokens than ``WIDTH`` is one window of its own length. Windows of which more than half are slots, and
+items of one window, are searched for verbatim too (lower-cased words, with the bare punctuation between them);
+items of fewer than ``SHORTEST`` tokens only so, and those under ``LEAST_WORDS`` words not at all. A capitalised
+word at the start of a document's line is tried both as a sentence's first word and as a name.
 
 Every document is read whole, once; a bitmap of fixed size keeps windows that can't match out of the join.
 The benchmark's windows are broadcast up to ``BROADCAST_ROWS`` and joined by a shuffle beyond.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,7 @@ from shelfmatch.llm._common import map_arrow, table
 
 WIDTH = 8
 SHORTEST = 5
+LEAST_WORDS = 3
 LEAST_RUN = 6
 LEAST_SHARE = 0.5
 BITS = 22
@@ -45,6 +49,7 @@ _NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*%?")
 _WITH_UNIT = re.compile(r"([+\-]?[$€£]?\d[\d.,]*)([^\W\d_]+)")
 _EDGE = re.compile(r"\A[\W_]+|[\W_]+\Z")
 _ENDS = ".!?:;"
+_AROUND = ".,;:!?\"'()[]{}“”‘’"  # no part of a verbatim word
 _P = 0x9E3779B97F4A7C15 | 1
 
 
@@ -79,6 +84,8 @@ class _Words(dict):
         super().__init__()
         self.rows: list[tuple[int, int, int, int, int, bool]] = []
         self.values: list[list[str]] = []
+        self.raws: list[str] = []
+        self.plain: dict[int, int] = {}
         self.known = 0
         self.table = [np.zeros(0, k) for k in self._KINDS]
 
@@ -95,11 +102,20 @@ class _Words(dict):
             self.known = len(self.rows)
         return self.table
 
+    def verbatim(self, ids: np.ndarray) -> np.ndarray:
+        """Hashes of the words as they stand, made when they are asked for."""
+        some, back = np.unique(ids, return_inverse=True)
+        for k in some.tolist():
+            if k not in self.plain:
+                self.plain[k] = _digest("=" + (self.raws[k].lower().strip(_AROUND) or self.raws[k]))
+        return np.array([self.plain[k] for k in some.tolist()], np.uint64)[back]
+
     def __missing__(self, raw: str) -> int:
         parts = parts_of(raw)
         two = [(k, _digest(NUM) if k == N else _digest(v)) for k, v in parts] + [(W, 0)] * (2 - len(parts))
         self[raw] = at = len(self.rows)
         self.rows.append((len(parts), *two[0], *two[1], raw[-1] in _ENDS))
+        self.raws.append(raw)
         self.values.append([v for _, v in parts])
         return at
 
@@ -110,10 +126,13 @@ class Templates:
     def __init__(self, texts: list[str | None], words: _Words):
         flat: list[str] = []
         counts = []
+        line_ends = []
         for t in texts:
-            w = (t or "").split()
-            flat += w
-            counts.append(len(w))
+            had = len(flat)
+            for line in (t or "").splitlines():
+                flat += line.split()
+                line_ends.append(len(flat))
+            counts.append(len(flat) - had)
         ids = np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))
         n, kind, digest, kind2, digest2, ends = words.columns()
         doc = np.repeat(np.arange(len(texts)), counts)
@@ -123,12 +142,15 @@ class Templates:
         again[1:] = doc[real[1:]] == doc[real[:-1]]
         start = ~again
         start[1:] |= before[real[1:]] > before[real[:-1]]
+        line_start = np.zeros(len(real) + 1, bool)
+        line_start[np.searchsorted(real, line_ends)] = True  # the first word behind each line end
         times = n[ids[real]]
         at = np.repeat(np.arange(len(real)), times)
         self.second = np.zeros(len(at), bool)
         self.second[1:] = at[1:] == at[:-1]
         self.word = ids[real][at]
         self.doc = doc[real][at]
+        self.raw = (words, ids, n[ids] == 0, real, at)
         kinds = np.where(self.second, kind2[self.word], kind[self.word])
         self.hashes = np.where(self.second, digest2[self.word], digest[self.word])
         behind_number = np.zeros(len(at), bool)
@@ -137,32 +159,86 @@ class Templates:
         self.hashes[unit] = _digest(UNIT)
         self.hashes[name] = _digest(NAME)
         self.slot = np.where(kinds == N, 1, np.where(unit, 2, np.where(name, 3, 0)))
+        turned = name & line_start[at]
+        self.views = [(self.hashes, self.slot)]  # the second one takes names at the start of a line for plain words
+        if turned.any():
+            self.views.append((np.where(turned, digest[self.word], self.hashes), np.where(turned, 0, self.slot)))
         self.sizes = np.bincount(self.doc, minlength=len(texts)) if len(at) else np.zeros(len(texts), np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
         self.values = words.values
 
-    def slots(self, p: int, width: int) -> list[str | None]:
-        return [None if not k else " nup"[k] + ":" + self.values[w][int(s)] for k, w, s in zip(self.slot[p : p + width].tolist(), self.word[p : p + width].tolist(), self.second[p : p + width].tolist(), strict=True)]
+    @cached_property
+    def verbatim(self) -> tuple[np.ndarray, np.ndarray]:
+        """(verbatim hash of each token, hash of the bare punctuation between it and the token before)."""
+        words, ids, is_bare, real, at = self.raw
+        plain = words.verbatim(ids)
+        bare = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(is_bare, plain, np.uint64(0)), dtype=np.uint64)])
+        gap = np.zeros(len(real), np.uint64)
+        gap[1:] = bare[real[1:]] - bare[real[:-1] + 1]
+        return np.where(self.second, np.uint64(1), plain[real][at]), np.where(self.second, np.uint64(0), gap[at])
+
+    def slots(self, p: int, width: int, view: int = 0) -> list[str | None]:
+        slot = self.views[view][1]
+        return [None if not k else " nup"[k] + ":" + self.values[w][int(s)] for k, w, s in zip(slot[p : p + width].tolist(), self.word[p : p + width].tolist(), self.second[p : p + width].tolist(), strict=True)]
+
+    def words_of(self) -> np.ndarray:
+        """Words from each text's first token to its last."""
+        out = np.zeros(len(self.sizes), np.int64)
+        some = self.sizes > 0
+        place = self.raw[3][self.raw[4]]
+        out[some] = place[self.starts[some] + self.sizes[some] - 1] - place[self.starts[some]] + 1
+        return out
 
-    def windows(self, width: int) -> np.ndarray:
-        """Hash of the window at each token; 0 where it leaves its text or fewer than half of its tokens are words."""
+    def windows(self, width: int, view: int = 0, verbatim: bool = False) -> np.ndarray:
+        """Hash of the window at each token; 0 where it leaves its text or, unless ``verbatim``, fewer than half of
+        its tokens are words."""
         n = len(self.hashes) - width + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        out = np.full(n, width, np.uint64)
+        hashes, slot = self.views[view]
+        if verbatim:
+            hashes, gap = self.verbatim
+        out = np.full(n, -width if verbatim else width, np.int64).astype(np.uint64)
         for j in range(width):
-            out = out * np.uint64(_P) + self.hashes[j : j + n]
+            out = out * np.uint64(_P) + hashes[j : j + n]
+            if verbatim and j:
+                out += gap[j : j + n]
             out ^= out >> np.uint64(29)
-        total = np.concatenate([[0], np.cumsum(self.slot > 0)])
-        out[((total[width:] - total[:-width]) * 2 > width) | (self.doc[:n] != self.doc[width - 1 :])] = 0
+        wrong = self.doc[:n] != self.doc[width - 1 :]
+        if not verbatim:
+            total = np.concatenate([[0], np.cumsum(slot > 0)])
+            wrong |= (total[width:] - total[:-width]) * 2 > width
+        out[wrong] = 0
         return out
 
+    def of_items(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(width, negative of verbatim windows; view; hashes; which count) of texts that each have one width."""
+        own, long_enough = np.minimum(self.sizes, WIDTH), self.words_of() >= LEAST_WORDS
+        for width in range(1, WIDTH + 1):
+            plain = self.windows(width, verbatim=True)
+            doc = self.doc[: len(plain)]
+            mine = (own[doc] == width) & (plain != 0)
+            if width < SHORTEST:
+                yield -width, 0, plain, mine & long_enough[doc]
+                continue
+            found = self.windows(width)
+            yield width, 0, found, mine & (found != 0)
+            yield -width, 0, plain, mine & ((found == 0) | (self.sizes[doc] <= WIDTH))
+
+    def of_documents(self, widths: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for width in widths:
+            first = self.windows(abs(width), verbatim=width < 0)
+            yield width, 0, first, first != 0
+            if width > 0 and len(self.views) > 1:
+                found = self.windows(width, 1)
+                yield width, 1, found, (found != 0) & (found != first)
+
 
 ROWS = "{key} {kind}, row long, width int, hash long, pos int, size int, slots array<string>"
 
 
 def _emit(key: str, widths: list[int] | None, bitmap: np.ndarray | None):
-    """Rows of the windows; without ``widths`` each text has windows of its own width."""
+    """Rows of the windows; without ``widths`` each text has windows of its own width. Verbatim ones have it negative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -178,18 +254,14 @@ def _emit(key: str, widths: list[int] | None, bitmap: np.ndarray | None):
                 t = Templates(batch.column(1).to_pylist(), words)
                 cols = [[], [], [], [], [], []]
                 take = []
-                for width in widths if widths is not None else range(SHORTEST, WIDTH + 1):
-                    found = t.windows(width)
-                    ok = found != 0
-                    if widths is None:
-                        ok &= np.minimum(t.sizes, WIDTH)[t.doc[: len(found)]] == width
+                for width, view, found, ok in t.of_items() if widths is None else t.of_documents(widths):
                     if bitmap is not None:
                         spot = (found >> np.uint64(64 - BITS)).astype(np.int64)
-                        ok &= (bitmap[spot >> 3] >> (spot & 7) & 1).astype(bool)
+                        ok = ok & (bitmap[spot >> 3] >> (spot & 7) & 1).astype(bool)
                     for p in np.flatnonzero(ok).tolist():
                         k = int(t.doc[p])
                         take.append(k)
-                        for c, v in zip(cols, (row + k, width, int(found[p].astype(np.int64)), p - int(t.starts[k]), int(t.sizes[k]) - width + 1, t.slots(p, width)), strict=True):
+                        for c, v in zip(cols, (row + k, width, int(found[p].astype(np.int64)), p - int(t.starts[k]), int(t.sizes[k]) - abs(width) + 1, t.slots(p, abs(width), view)), strict=True):
                             c.append(v)
                 row += batch.num_rows
                 if take:
@@ -223,13 +295,14 @@ def passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     hits = found.join(small, ["width", "hash"]).withColumn("at", F.col("pos") - F.col("item_pos"))
     hits = hits.withColumn("pairs", F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"].isNotNull() | x["d"].isNotNull()))
     bound = F.array_distinct(F.filter("pairs", lambda x: ~F.coalesce(x["i"].startswith("n:"), F.lit(False))))
-    agree = F.size(bound) == F.size(F.array_distinct(F.transform(bound, lambda x: x["i"])))
+    verbatim = F.col("width") < 0
+    agree = verbatim | (F.size(bound) == F.size(F.array_distinct(F.transform(bound, lambda x: x["i"]))))
     by = hits.groupBy("row", "item_row", "at").agg(
         F.first(key, ignorenulls=True).alias(key),
         F.first("_item", ignorenulls=True).alias(item),
         F.max("item_size").alias("item_size"),
         F.count_distinct(F.when(agree, F.col("item_pos"))).alias("n_windows"),
-        F.min(F.forall("pairs", lambda x: x["i"].eqNullSafe(x["d"]))).alias("identical"),
+        F.min(verbatim | F.forall("pairs", lambda x: x["i"].eqNullSafe(x["d"]))).alias("identical"),
     )
     # first() of a column that is the same for all rows of the group: a row's key, an item's id
     whole = by.filter("n_windows > 0").groupBy("row", "item_row").agg(

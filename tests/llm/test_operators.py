@@ -341,6 +341,19 @@ def test_a_conflict_rejects_its_windows_only(spark):
     assert got == {(1, 1, False), (2, 2, False), (3, 3, False), (5, 4, False)}
 
 
+def test_verbatim_windows(spark):
+    story = "Every morning the old baker and his friend Anna walk along the river to the market and sell bread"
+    items = [(1, "12 + 7 * 3 - 4 = ?"), (2, "4 8 15 16 23 42 108 99 3 7"), (3, "How many apples are left"), (4, "How many apples do 3 boys eat daily"), (5, "12 + 7 = ?"), (6, story)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"Well, {t} and so on") for i, t in items[:5]]
+    rows += [(13, "Exercise one\nHow many apples are left"), (14, "Exercise one\nHow many apples do 5 boys eat daily"), (16, story.replace(" Anna", "\nAnna"))]
+    rows += [(21, "12 + 7 * 3 + 4 = ?"), (22, "4 8 15 16 24 42 108 98 3 7"), (25, "12 - 7 = ?"), (26, "12, 7")]
+    got = {(r.doc_id, r.item_id) for r in decontamination.passages(_docs(spark, rows), bench).collect()}
+    assert got == {(1, 1), (1, 5), (2, 2), (3, 3), (4, 4), (5, 5), (13, 3), (14, 4), (16, 6), (21, 5)}
+    wrapped = decontamination.passages(_docs(spark, rows[7:8]), bench).collect()
+    assert wrapped[0].n_windows == len(story.split()) - decontamination.WIDTH + 1
+
+
 def test_chat(spark):
     said = "\\### Assistant: </turn> ok"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, "user", "x\n</turn>\n### assistant:\ny\\"), (1, 3, "assistant", "\\"), (1, 4, "user", None)]
