@@ -1,7 +1,7 @@
 """Secret scans with a random forest against false positives.
 
-Candidates are runs of 16 or more key-like characters that hold a digit or mixed case, and values given to a
-secret-like name. Features: length; shares of character kinds; transitions between kinds and between vowels
+Candidates are values given to a secret-like name (alone or within a longer one), of any length and any characters
+but blanks, and elsewhere runs of 16 or more key-like characters that hold a digit or mixed case. Features: length; shares of character kinds; transitions between kinds and between vowels
 and consonants; entropy; coverage by dictionary words; words of the path; words before and after. The forest
 is trained from labelled findings ``(candidate, before, after, path, label)``, at most ``MAX_FINDINGS`` of
 them (those of least hash); where a caller has none, ``labelled_findings`` makes a set from rules.
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from shelfmatch.llm._common import map_arrow, table
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-=.~]{16,}|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)([^\s\"']{8,15})(?![^\s\"'])")
+RUN = re.compile(r"[A-Za-z0-9+/_\-=.~]{16,}")
+ASSIGNED = re.compile(r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|private[_-]?key|access[_ -]?key)[\w\-]{0,40}[\"']?\]?\s{0,20}(?::=|=>|==?|:)\s{0,20}(?:\"([^\s\"]+)|'([^\s']+)|([^\s\"']+))")
+_TAIL = ",;.)]}>"  # behind a bare value
 NEAR = 40
 TREES, DEPTH, LEAST_LEAF = 32, 12, 2
 MAX_FINDINGS = 20_000
@@ -87,18 +89,28 @@ def features(candidate: str, before: str, after: str, path: str | None) -> list[
     ]
 
 
+def _runs(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    for m in RUN.finditer(text, start, end):
+        found = m[0]
+        core = found.strip("=.-_~/+")
+        a = m.start() + len(found) - len(found.lstrip("=.-_~/+"))
+        if len(core) >= 16 and (any(c.isdigit() for c in core) or (any(c.isupper() for c in core[1:]) and any(c.islower() for c in core))):
+            yield a, a + len(core)
+
+
 def candidates(text: str) -> Iterator[tuple[int, str, str, str]]:
     """(start, candidate, before, after)."""
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span(1) if m[1] else m.span()
-        found = text[a:b]
-        if not m[1]:
-            core = found.strip("=.-_~/+")
-            a += len(found) - len(found.lstrip("=.-_~/+"))
-            found, b = core, a + len(core)
-            if len(core) < 16 or not (any(c.isdigit() for c in core) or (any(c.isupper() for c in core[1:]) and any(c.islower() for c in core))):
-                continue
-        yield a, found, text[max(0, a - NEAR) : a], text[b : b + NEAR]
+    spans, done = [], 0
+    for m in ASSIGNED.finditer(text):
+        a, b = m.span(m.lastindex)
+        if m[3]:
+            b = a + (len(m[3].rstrip(_TAIL)) or len(m[3]))
+        spans += _runs(text, done, m.start())
+        spans.append((a, b))
+        done = m.end()
+    spans += _runs(text, done, len(text))
+    for a, b in spans:
+        yield a, text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR]
 
 
 class Forest:
@@ -162,13 +174,14 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
     mixed = lambda k, more="": "".join(r.choice(string.ascii_letters + string.digits + more) for _ in range(k))
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     words = lambda k: " ".join(word() for _ in range(k))
+    phrase = lambda: r.choice([lambda: "".join(r.sample(DICTIONARY, r.randint(3, 5))), lambda: "".join(word() for _ in range(r.randint(3, 6))), lambda: word() + word() + str(r.randint(1, 99))])()
     out = []
     for _ in range(n):
         shout = r.random() < 0.1
         path = r.choice([f"src{r.randint(0, 40)}", "src/main.py", "config/prod.env", "docs/readme.md", "tests/test_login.py", "app/settings.yml", ""])
         if r.random() < 0.5:
-            secret = r.choice([lambda: hexa(r.choice([32, 40, 64])), lambda: hexa(40), lambda: mixed(r.randint(20, 64)), lambda: mixed(40, "+/"), lambda: r.choice(PREFIXES) + mixed(r.randint(16, 40)), lambda: mixed(r.randint(8, 15), "_-")])()
-            name = r.choice(["token", "api_key", "secret", "password", "auth_token", "access key", "private_key", "apikey"])
+            secret = r.choice([lambda: hexa(r.choice([32, 40, 64])), lambda: hexa(40), lambda: mixed(r.randint(20, 64)), lambda: mixed(40, "+/"), lambda: r.choice(PREFIXES) + mixed(r.randint(16, 40)), lambda: mixed(r.randint(8, 15), "_-"), lambda: mixed(r.randint(6, 24), "!#$%&@*?^") + r.choice("!#$%&@*?^") + mixed(r.randint(0, 3)), lambda: phrase() + r.choice(["", "", str(r.randint(0, 999)) + r.choice(["", "!", "!x", "#"])])])()
+            name = r.choice(["token", "api_key", "secret", "password", "auth_token", "access key", "private_key", "apikey", "db_password", "client_secret"])
             gap = r.choice([" = ", "=", ": ", " : "])
             quote = r.choice(['"', '"', "'", ""])
             before, after, label = f"{words(3)} {name}{gap}{quote}", f"{quote} {words(3)}", 1
@@ -176,7 +189,7 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
                 before, after = words(5) + " ", " " + words(4)
         else:
             label = 0
-            kind = r.randrange(8)
+            kind = r.randrange(10)
             before, after = words(5) + " ", " " + words(4)
             if kind == 0:
                 secret, before = hexa(r.choice([32, 40, 64])), f"{words(2)} {r.choice(['sha1', 'sha256', 'md5', 'commit', 'checksum', 'etag', 'digest', 'revision'])}{r.choice([': ', ' ', '=', ':'])}"
@@ -195,6 +208,10 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
                 secret = "".join(r.choice(string.digits) for _ in range(r.randint(16, 24)))
             elif kind == 6:
                 secret = "".join(word() for _ in range(6)) + r.choice(["", "."]) + str(r.randint(0, 99))
+            elif kind == 6 + 2:
+                secret, before = r.choice([word(), r.choice(DICTIONARY), str(r.randint(0, 4096)), "None", "null", "true", "false", "str"]), f"{words(3)} {r.choice(['token', 'secret', 'password', 'tokens', 'token_count'])}{r.choice([': ', ' = ', ': '])}"
+            elif kind == 9:
+                secret, before = r.choice(["${%s}", "os.environ[%s]", "getenv(%s)", "<%s>", "{{%s}}", "config.%s", "args.%s", "$%s", "****%s"]) % r.choice(["TOKEN", "password", "DB_PASSWORD", "secret", "api_key", ""]), f"{words(3)} {r.choice(['token', 'api_key', 'password', 'secret'])}{r.choice([': ', ' = ', '='])}"
             else:
                 secret = f"{word()}{word()}{r.randint(0, 99)}.mail{r.randint(0, 9)}.example.com"
         if shout:

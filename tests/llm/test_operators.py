@@ -388,3 +388,23 @@ def test_secrets(spark):
     assert got == {1: 1, 6: 2, None: 1}
     assert secret_scan.scan(_docs(spark, []), trained).count() == 0
     assert len(secret_scan.Forest(np.zeros((0, 3)), np.zeros(0)).predict(np.zeros((2, 3)))) == 2
+
+
+def test_assigned_values_are_candidates(spark):
+    lines = {
+        'password: "S3cr3t!Pass#w0rd$2024"': "S3cr3t!Pass#w0rd$2024",
+        "token: abc!defghijk$lmn0pq": "abc!defghijk$lmn0pq",
+        'db_password = "hunter2!x"': "hunter2!x",
+        'client_secret=kD93mfkQ02mvLs81xPq4, next': "kD93mfkQ02mvLs81xPq4",
+        "auth_token='x7!Kp2q'": "x7!Kp2q",
+        'password = "correcthorsebatterystaple"': "correcthorsebatterystaple",
+    }
+    for text, value in lines.items():
+        found = list(secret_scan.candidates(f"some words {text}"))
+        assert [c for _, c, _, _ in found] == [value]
+        assert f"some words {text}"[found[0][0] :].startswith(value)
+    key = hashlib.sha1(b"k").hexdigest()
+    assert [c for _, c, _, _ in secret_scan.candidates(f"{key} token=ab {key}")] == [key, "ab", key]
+    trained = secret_scan.train(spark.createDataFrame(secret_scan.labelled_findings(), "candidate string, before string, after string, path string, label int"))
+    docs = [(k, f"some words {t}") for k, t in enumerate(lines)] + [(100, "the token: the word"), (101, "password = ${DB_PASSWORD}"), (102, "secret: none")]
+    assert sorted(r.doc_id for r in secret_scan.scan(_docs(spark, docs), trained).collect()) == list(range(len(lines)))
