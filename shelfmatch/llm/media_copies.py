@@ -2,9 +2,10 @@
 
 Corners (Harris response, the strongest ``CORNERS`` a scale that are the largest around) are found at two
 scales. Each has an orientation (the intensity centroid's direction, in ``TURNS`` steps) and 256 binary
-tests of a smoothed patch, turned by it. Descriptors are four 64-bit words; images that share a word of the
-same place are candidates (a Hamming-table join: two descriptors that differ in three bits at most always
-share one). For a candidate pair all descriptors are compared, and matches vote for a common turn, scale
+tests of a smoothed patch, turned by it. The 256 bits are dealt ``ROUNDS`` times into ``PIECES`` pieces; images
+that share a piece of the same place are candidates (a Hamming-table join: two descriptors that differ in fewer
+than ``PIECES`` bits always share one; of those ``NEAREST`` apart about a fifth do, so that of twenty such
+descriptors one is almost sure to). For a candidate pair all descriptors are compared, and matches vote for a common turn, scale
 and shift; a pair with ``VOTES`` agreeing matches is a link. Classes are components of links.
 
 Descriptors are made where the bytes are read, and only they are shuffled. Images with equal bytes are one node, and a word's images are never paired with all others
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmatch.llm._common import cut, join_hot, map_arrow, store, table
@@ -33,6 +34,7 @@ CORNERS = (24, 12)
 TURNS = 32
 RADIUS = 10
 NEAREST = 40  # bits by which matching descriptors may differ
+PIECES, ROUNDS = 10, 2  # of the tables: each key holds 25 or 26 bits
 VOTES = 5
 SLACK = 3.0  # pixels by which shifts may differ
 _HEAD = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+255\s")
@@ -53,6 +55,25 @@ _SPAN = np.arange(-RADIUS, RADIUS + 1)
 _DISC = (_SPAN[:, None] ** 2 + _SPAN[None, :] ** 2) <= RADIUS**2
 
 
+def _pieces() -> list[list[int]]:
+    """For each table the masks of a descriptor's four words, as signed 64-bit integers."""
+    rng = np.random.default_rng(21)
+    out = []
+    for _ in range(ROUNDS):
+        for bits in np.array_split(rng.permutation(256), PIECES):
+            masks = [sum(1 << int(b) % 64 for b in bits if b // 64 == k) for k in range(4)]
+            out.append([m - (1 << 64) if m >= 1 << 63 else m for m in masks])
+    return out
+
+
+def table_keys(words: str) -> Column:
+    """The distinct table keys of all descriptors of the column."""
+    word = lambda i, k: F.get(F.col(words), i * 4 + k)
+    keys = lambda i: F.array(*[F.xxhash64(F.lit(t), *[word(i, k).bitwiseAND(F.lit(m)) for k, m in enumerate(masks)]) for t, masks in enumerate(_pieces())])
+    each = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(words) / 4).cast("int") - 1)), keys)
+    return F.when(F.size(words) > 0, F.array_distinct(F.flatten(each)))
+
+
 def pgm(pixels: np.ndarray) -> bytes:
     h, w = pixels.shape
     return b"P5 %d %d 255\n" % (w, h) + np.clip(np.rint(pixels), 0, 255).astype(np.uint8).tobytes()
@@ -166,8 +187,7 @@ def copies(media: DataFrame, key: str = "media_id", data: str = "data") -> DataF
     given = rows.filter("node is not null")
     heads = store(given.groupBy("node").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n_equal")), "images")
     found = cut(given.groupBy("node").agg(F.first("spots").alias("spots"), F.first("words").alias("words")))  # equal for all rows of a node
-    table_of = F.transform("words", lambda w, i: F.xxhash64(w, F.pmod(i, F.lit(4))))
-    members = found.select("node", F.explode(F.array_distinct(table_of)).alias("key"))
+    members = found.select("node", F.explode(table_keys("words")).alias("key"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.distinct())

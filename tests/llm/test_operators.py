@@ -244,6 +244,21 @@ def test_media(spark):
     assert media_copies.copies(spark.createDataFrame([], "media_id long, data binary")).count() == 0
 
 
+def test_media_tables_reach_the_accepted_distance(spark):
+    rnd = np.random.default_rng(12)
+    for apart, least in ((9, 60), (24, 58), (32, 57), (media_copies.NEAREST, 54)):
+        rows = []
+        for k in range(60):
+            bits = rnd.integers(0, 2, (20, 256)).astype(bool)
+            other = bits.copy()
+            for row in other:
+                row[rnd.choice(256, apart, replace=False)] ^= True
+            rows += [(2 * k + j, np.packbits(x, axis=1).view(np.int64).ravel().tolist()) for j, x in enumerate((bits, other))]
+        words = spark.createDataFrame(rows, "node long, words array<long>")
+        keys = {r.node: set(r.k) for r in words.select("node", media_copies.table_keys("words").alias("k")).collect()}
+        assert sum(bool(keys[2 * k] & keys[2 * k + 1]) for k in range(60)) >= least
+
+
 def _plain_lines(rows):
     places = {}
     for i, t in rows:
