@@ -1,7 +1,7 @@
 """Copies among images by local descriptors.
 
-Corners (Harris response, the strongest ``CORNERS`` a scale that are the largest around) are found at two
-scales. Each has an orientation (the intensity centroid's direction, in ``TURNS`` steps) and 256 binary
+Corners (Harris response, the strongest ``CORNERS`` a scale in each ``CELL`` x ``CELL`` pixels that are the largest
+around) are found at two scales. Each has an orientation (the intensity centroid's direction, in ``TURNS`` steps) and 256 binary
 tests of a smoothed patch, turned by it. The 256 bits are dealt ``ROUNDS`` times into ``PIECES`` pieces; images
 that share a piece of the same place are candidates (a Hamming-table join: two descriptors that differ in fewer
 than ``PIECES`` bits always share one; of those ``NEAREST`` apart about a fifth do, so that of twenty such
@@ -31,6 +31,8 @@ from shelfmatch.llm._common import cut, join_hot, map_arrow, store, table
 from shelfmatch.llm.components import link_buckets
 
 CORNERS = (24, 12)
+CELL = 96
+BLOCK = 64
 TURNS = 32
 RADIUS = 10
 NEAREST = 40  # bits by which matching descriptors may differ
@@ -119,7 +121,11 @@ def descriptors(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         inner[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1] = True
         ok = inner & (strength > 1e-3) & (strength >= _largest_around(strength, 3))
         ys, xs = np.nonzero(ok)
-        order = np.lexsort((xs, ys, -strength[ys, xs]))[:most]
+        side = CELL >> scale
+        cell = ys // side * (level.shape[1] // side + 1) + xs // side
+        order = np.lexsort((xs, ys, -strength[ys, xs], cell))
+        first = np.searchsorted(cell[order], cell[order])  # of the cell
+        order = order[np.arange(len(order)) - first < most]
         ys, xs = ys[order], xs[order]
         smooth = _box(level, 1)
         if len(ys):
@@ -143,8 +149,13 @@ def agreeing(sa: np.ndarray, wa: np.ndarray, sb: np.ndarray, wb: np.ndarray) ->
     """The most matches that share one turn, scale and shift."""
     if not len(sa) or not len(sb):
         return 0
-    apart = np.bitwise_count(wa[:, None] ^ wb[None]).sum(2)
-    i, j = np.nonzero((apart <= NEAREST) & (apart == apart.min(1, keepdims=True)))
+    i, j = [], []
+    for at in range(0, len(wa), BLOCK):
+        apart = np.bitwise_count(wa[at : at + BLOCK, None] ^ wb[None]).sum(2)
+        x, y = np.nonzero((apart <= NEAREST) & (apart == apart.min(1, keepdims=True)))
+        i.append(x + at)
+        j.append(y)
+    i, j = np.concatenate(i), np.concatenate(j)
     if len(i) < VOTES:
         return 0
     turn = (sb[j, 2] - sa[i, 2]) % TURNS
@@ -152,9 +163,13 @@ def agreeing(sa: np.ndarray, wa: np.ndarray, sb: np.ndarray, wb: np.ndarray) ->
     angle, size = 2 * np.pi * turn / TURNS, 2.0**scale
     dx = sb[j, 0] - size * (np.cos(angle) * sa[i, 0] - np.sin(angle) * sa[i, 1])
     dy = sb[j, 1] - size * (np.sin(angle) * sa[i, 0] + np.cos(angle) * sa[i, 1])
-    near_turn = np.abs((turn[:, None] - turn + TURNS // 2) % TURNS - TURNS // 2) <= 1
-    same = near_turn & (scale[:, None] == scale) & (np.hypot(dx[:, None] - dx, dy[:, None] - dy) <= SLACK)
-    return max(min(len(set(i[s].tolist())), len(set(j[s].tolist()))) for s in same)
+    best = 0
+    for k in range(len(i)):
+        near_turn = np.abs((turn[k] - turn + TURNS // 2) % TURNS - TURNS // 2) <= 1
+        same = near_turn & (scale[k] == scale) & (np.hypot(dx[k] - dx, dy[k] - dy) <= SLACK)
+        if same.sum() > best:
+            best = max(best, min(len(set(i[same].tolist())), len(set(j[same].tolist()))))
+    return best
 
 
 def _spread(media: DataFrame, key: str) -> DataFrame:

@@ -259,6 +259,16 @@ def test_media_tables_reach_the_accepted_distance(spark):
         assert sum(bool(keys[2 * k] & keys[2 * k + 1]) for k in range(60)) >= least
 
 
+def test_media_part_of_a_large_picture(spark):
+    rnd = np.random.default_rng(13)
+    field = media_copies._box(rnd.normal(size=(480, 480)), 2)
+    field[:160, :160] *= 4  # the busiest part
+    big = np.clip(128 + field * 60, 0, 255)
+    rows = [(1, media_copies.pgm(big)), (2, media_copies.pgm(big[290:440, 301:451])), (3, media_copies.pgm(big[400:, 20:180]))]
+    got = {(r.media_id, r.class_id) for r in media_copies.copies(spark.createDataFrame(rows, "media_id long, data binary")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}
+
+
 def _plain_lines(rows):
     places = {}
     for i, t in rows:
