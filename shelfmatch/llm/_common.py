@@ -5,32 +5,37 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmatch.operators.runtime import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables written by ``store`` that nobody has dropped, by path.
+_LEFT: dict[str, None] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) is a temporary folder chosen.
+    Where the session names none, a temporary folder is chosen if driver and tasks are one process (a
+    local test); anywhere else that is an error, as executors would write where nobody else reads.
     """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not given:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(given)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(given)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(given)
     return given.rstrip("/")
 
 
@@ -46,10 +51,40 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def store(df: DataFrame, kind: str) -> DataFrame:
-    """Write a table to the shared folder and read it back; its lineage ends there."""
+    """Write a table to the shared folder and read it back; its lineage ends there.
+
+    The table stays until ``drop`` or ``drop_left`` removes it."""
     path = shared_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _LEFT[path] = None
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _LEFT.pop(path, None)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables of ``store`` (and only such) that no plan reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._stored_at)
+
+
+def left() -> list[str]:
+    """Paths of the tables that are still there."""
+    return list(_LEFT)
+
+
+def drop_left(spark: SparkSession, paths: list[str]) -> None:
+    """Remove those tables, and let Spark's cleaner find shuffles and checkpoints of plans that are gone."""
+    for p in paths:
+        if p in _LEFT:
+            _delete(spark, p)
+    release(spark)
 
 
 @contextmanager
@@ -58,6 +93,7 @@ def bucketed(df: DataFrame, by: str, kind: str) -> Iterator[DataFrame]:
     groups or joins it by that column needs no shuffle of it. The table goes when the context ends."""
     spark = df.sparkSession
     path = shared_path(spark, kind)
+    _LEFT[path] = None
     name = path.rsplit("/", 1)[1].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, by).option("path", path).option("compression", "zstd").saveAsTable(name)
@@ -65,8 +101,7 @@ def bucketed(df: DataFrame, by: str, kind: str) -> Iterator[DataFrame]:
         yield spark.table(name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -75,20 +110,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a context, so that their Python workers can import it."""
-    context = spark.sparkContext
-    if getattr(context, "_package_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    context.addPyFile(str(to))
-    context._package_shipped = True
-
-
 def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` whose function may refer to this package's modules."""
     ship(df.sparkSession)
@@ -98,14 +119,15 @@ def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
 HOT_PARTS = 256
 
 
-def join_hot(rows: DataFrame, keys: DataFrame, key: str, count: str) -> DataFrame:
+def join_hot(rows: DataFrame, keys: DataFrame, key: str, count: str, total: int | None = None) -> DataFrame:
     """``rows`` left-joined with ``keys`` (unique by ``key``, with each key's number of rows in ``count``).
 
     A key with at least a 256th of all rows is joined by broadcast: there are 256 such keys at
     most, whatever the data. All others are joined by a shuffle, where none is hot. ``key`` isn't
-    null; ``rows`` should be a stored table, as it is read twice.
+    null; ``rows`` should be a stored table, as it is read twice. ``total`` is the number of rows, where known.
     """
-    total = keys.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    if total is None:
+        total = keys.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     hot = F.broadcast(keys.filter(F.col(count) * HOT_PARTS >= total))
     at_hot = rows.join(hot, key)
     at_rest = rows.join(hot, key, "left_anti").join(keys, key, "left")

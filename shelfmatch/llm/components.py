@@ -1,12 +1,13 @@
 """Distributed union-find and bucket linking, in DataFrame operations only.
 
 ``components`` alternates large-star and small-star steps until the edges are stars around the least
-node of each component. A step is an aggregate and a join on the same key; the join's large side is
-split where a key is hot. Nothing is collected on the driver but a count and a checksum a round.
+node of each component. A step is an aggregate and a join on the same key; a node with a 256th of all
+edges or more (256 nodes at most) is joined by broadcast, so its neighbours stay spread. Nothing is
+collected on the driver but a count and a checksum a step.
 
-``link_buckets`` finds the components of "two members of one bucket that pass a test" without
-listing all pairs of a bucket: first each member is tried against the bucket's least member, then
-only pairs of members whose components still differ are tried.
+``link_buckets`` finds the components of "two members of one bucket that pass a test": each member is
+tried against the bucket's least member, and then only members whose components still differ are tried
+against each other.
 """
 
 from __future__ import annotations
@@ -16,60 +17,120 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmatch.llm._common import cut
+from shelfmatch.llm._common import HOT_PARTS, drop, join_hot, release, store
 
+SAMPLED = 64  # a node in so many is looked at to find hot keys
+SPLIT = 512  # members of a bucket to a task in the last step
 
-def _star(edges: DataFrame, both: bool) -> DataFrame:
-    """One step on ``edges(a, b)`` with a > b. Large (both directions): the larger neighbours of each
-    node go to its least neighbour; small: the node and its smaller neighbours do."""
+
+def _star(edges: DataFrame, both: bool, n_edges: int) -> DataFrame:
+    """One step on stored ``edges(a, b)`` with a > b. Large (both directions): the larger neighbours of
+    each node go to its least neighbour; small: the node and its smaller neighbours do."""
     near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if both:
         near = near.unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    joined = join_hot(near, least, "u", "n", n_edges * (2 if both else 1))
     if both:
-        return near.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    moved = near.join(least, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        return joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    moved = joined.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``edges(a long, b long)`` -> ``(node, root)`` for every node that has an edge; ``root`` is the
-    least node of its component.
+    """``edges(a long, b long)`` -> stored ``(node, root)`` for every node that has an edge; ``root`` is
+    the least node of its component.
 
     Loops, repeated edges and either direction are allowed; null ends are ignored. No edges give an
     empty table.
     """
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-    seen = state(now)
+    now = store(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    seen = _state(now)
     while seen[0]:
-        now = cut(_star(_star(now, True), False).distinct())
-        if seen == (seen := state(now)):
+        large = store(_star(now, True, seen[0]).distinct(), "edges")
+        small = store(_star(large, False, seen[0]).distinct(), "edges")  # a large step adds no edges
+        drop(now, large)
+        now = small
+        release(now.sparkSession)
+        if seen == (seen := _state(now)):
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = store(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "components")
+    drop(now)
+    return out
 
 
-def link_buckets(members: DataFrame, keep: Callable[[DataFrame], DataFrame], one_shuffle: bool = False) -> DataFrame:
-    """``members(key, node long)`` -> ``(node, root)`` of all nodes that are linked to another.
+def _hot_keys(members: DataFrame, total: int) -> list[int]:
+    """Keys that hold about a 256th of all members or more, from every 64th node. They only decide how
+    a key's members are joined, not which pairs are tried, so a miss costs time and no pair."""
+    some = members.filter(F.pmod(F.xxhash64(F.lit(SAMPLED), "node"), F.lit(SAMPLED)) == 0)
+    often = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(8, total // SAMPLED // HOT_PARTS))
+    return [r["key"] for r in often.select("key").collect()]
 
-    ``keep`` gets candidate pairs ``(a, b)``, which may repeat, and returns those that are links. Two
-    nodes of a bucket that link end up with one root, whatever the bucket's size; a pair is left out
-    only if both are known to be of one component or the pair was tried before. ``members`` is
-    computed again for each use, so it should be cheap to derive from a stored table. ``one_shuffle``
-    deals the members out by key once for the aggregate and the join: half the shuffle, but a hot key's
-    rows then stream through one task.
-    """
-    if one_shuffle:
-        members = members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+
+def _with_first(members: DataFrame) -> DataFrame:
     least = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
-    stars = cut(keep(members.join(least, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))).select("a", "b").distinct())
-    labels = components(stars)
-    left = cut(members.join(least, "key").filter("node <> first").select("key", "first", "node").join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    mixed = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    left = left.join(mixed, "key")
-    x, y = left.toDF("key", "a", "ra"), left.toDF("key", "b", "rb")
-    more = cut(keep(x.join(y, "key").filter("a < b and ra <> rb").select("a", "b")).select("a", "b").distinct())
+    return members.join(least, "key").filter("node <> first").select("key", "first", "node")
+
+
+def link_buckets(members: DataFrame, total: int, keep: Callable[[DataFrame], DataFrame], among: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``members(key long, node long)``, ``total`` of them, no row twice -> ``(node, root)`` of all nodes that are linked to another.
+
+    ``keep`` gets stored candidate pairs ``(a, b)`` and returns those that are links. ``among`` gets the
+    members ``(key, node, root, n)`` of buckets whose members are of several components, ``n`` being the
+    bucket's size, and returns at least all links ``(a, b)`` among members of one bucket and of different
+    components; by default it lists those pairs for ``keep``. So two nodes of a bucket that link end up
+    with one root, whatever the bucket's size. ``members`` is computed twice, so it should be
+    cheap to derive from a stored table; it is dealt by key once, but for hot keys, whose members stay
+    where they are and meet the key's least member by broadcast.
+    """
+    spark = members.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = _hot_keys(members, total)
+    rest = members.filter(~F.col("key").isin(hot)) if hot else members
+    tried = _with_first(rest.repartition(parts, "key"))
+    if hot:
+        at_hot = members.filter(F.col("key").isin(hot))
+        least = at_hot.groupBy("key").agg(F.min("node").alias("first"))  # as many as hot keys
+        tried = tried.unionByName(at_hot.join(F.broadcast(least), "key").filter("node <> first").select("key", "first", "node"))
+    tried = store(tried, "tried")
+    release(spark)
+    pairs = store(tried.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links = store(keep(pairs).select("a", "b"), "links")
+    drop(pairs)
+    labels = components(links)
+    drop(links)
+    all_of = tried.select("key", "node").unionAll(tried.select("key", F.col("first").alias("node")).distinct())
+    rooted = store(all_of.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    drop(tried)
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("key", "n")
+    several = store(join_hot(rooted, mixed, "key", "n").filter("n is not null"), "several")
+    drop(rooted)
+    release(spark)
+    if among is None:
+        x, y = several.toDF("key", "a", "ra", "n"), several.toDF("key", "b", "rb", "_n")
+        found = keep(store(x.join(y, "key").filter("a < b and ra <> rb").select("a", "b").distinct(), "pairs"))
+    else:
+        found = among(several)
+    more = store(found.select("a", "b"), "links")
+    drop(several)
     if more.isEmpty():
         return labels
-    found = labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(found.unionAll(more))
+    out = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+    drop(labels, more)
+    return out
+
+
+def meet(members: DataFrame, condition) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of members ``(key, node, root, n, ...)`` of one bucket and different
+    components that meet ``condition(x, y)`` (the two rows' columns by name). It is evaluated in the join, so pairs that don't
+    meet it are never rows; a bucket's members are spread over a task for every ``SPLIT`` of them."""
+    spread = (F.floor(F.col("n") / SPLIT) + 1).cast("int")
+    one = members.withColumn("part", F.explode(F.sequence(F.lit(0), spread - 1))).alias("x")
+    other = members.withColumn("part", F.pmod(F.xxhash64("node"), spread).cast("int")).alias("y")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    on = (x("key") == y("key")) & (x("part") == y("part")) & (x("node") < y("node")) & (x("root") != y("root"))
+    return one.hint("merge").join(other, on & condition(x, y)).select(x("node").alias("a"), y("node").alias("b"))

@@ -2,16 +2,18 @@
 
 Lines are compared by their sets of character shingles of length ``SHINGLE``. A signature has
 BANDS x ROWS minima over all shingles, whatever the line's length: shingle hashes under exclusive-or with fixed
-masks, of which each orders the hashes anew. Lines that share a band are candidates, the exact Jaccard similarity of their full shingle sets decides, and a distributed
+masks, of which each orders the hashes anew. Lines that share a band are candidates (a pair at similarity 0.8
+with probability 0.993), the exact Jaccard similarity of their full shingle sets decides, and a distributed
 union-find joins links to components. Of each component the first line (by document key, then place) stays, in its document.
 
-Equal lines are one node, so copies cost a row each and no pairs. A line is known by its 64-bit hash.
+Rows are numbered once, in a stored copy, and everything after reads that copy, so that a row's number
+means the same row wherever the input came from. Equal lines are one node, so copies cost a row each and no pairs. A node is a line's 64-bit hash; where two
+different lines share it (a second hash tells), these lines are compared whole, by their text, and not by similarity.
 
-Lines of fewer than ``MIN_CHARS`` characters have no shingle and are compared whole. ``dedup_lines`` leaves those
-of fewer than ``least`` characters as they are, and blank ones among them in any case.
+Every line that isn't blank takes part. Lines of fewer than ``SHINGLE`` characters have no shingle and are compared whole.
 Defined results: a null text stays null and has no lines; an empty text stays as it is; equal keys are told
 apart by the row's place in the table; repeated rows lose their lines to the first; empty tables give
-no rows; all other columns are kept as they are.
+no rows; a column ``n_lines`` or ``dropped`` of the input is replaced, all other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmatch.llm._common import bucketed, cut, join_hot, release, store, table
-from shelfmatch.llm.components import link_buckets
+from shelfmatch.llm._common import bucketed, drop, join_hot, release, store, table
+from shelfmatch.llm.components import link_buckets, meet
 
 SHINGLE = 8
-MIN_CHARS = SHINGLE
-BANDS, ROWS = 9, 4
+BANDS, ROWS = 7, 3
 SIMILARITY = 0.8
 BLOCK = 1 << 14
+LANES = 4  # shingles to a row while signatures are made
 
 
 def _masks() -> list[int]:
@@ -38,15 +40,14 @@ def _masks() -> list[int]:
     return out
 
 
-def _with_rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_rid", F.monotonically_increasing_id())
+def _identity(line: Column) -> Column:
+    return F.xxhash64(line)
 
 
-def occurrences(rows: DataFrame, key: str, text: str, least: int = MIN_CHARS) -> DataFrame:
-    """``h, at(key, rid, pos), line`` of each line that is long enough."""
-    each = rows.select(F.col(key).alias("k"), F.col("_rid").alias("rid"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("pos", "line"))
-    whole = (F.length("line") >= least) & F.col("line").rlike(r"\S")
-    return each.filter((F.length("line") >= MIN_CHARS) | whole).select(F.xxhash64("line").alias("h"), F.struct("k", "rid", "pos").alias("at"), "line")
+def occurrences(rows: DataFrame, key: str, text: str, rid: str) -> DataFrame:
+    """``h, at(key, rid, pos), line`` of each line that isn't blank."""
+    each = rows.select(F.col(key).alias("k"), F.col(rid).alias("rid"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("pos", "line"))
+    return each.filter(F.col("line").rlike(r"\S")).select(_identity(F.col("line")).alias("h"), F.struct("k", "rid", "pos").alias("at"), "line")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -58,15 +59,16 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """Distinct ``h, line``, clustered by ``h``, -> ``node, bands array<long>``; no shuffle of its own.
-
-    Shingles are cut from characters of a fixed width, as a place in UTF-8 is only found by counting from the start."""
-    rows = _blocks(lines.select("h", "line"))
-    places = F.sequence(F.lit(1), F.length("part") - (4 * SHINGLE - 1), F.lit(4))
-    rows = rows.select("h", "part", F.explode(places).alias("p"))
-    rows = rows.select("h", F.xxhash64(F.substring(F.col("part"), F.col("p"), F.lit(4 * SHINGLE))).alias("s"))
-    masks = _masks()
-    sig = rows.groupBy("h").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)])
+    """Distinct ``h, line``, clustered by ``h``, of lines that have a shingle -> ``node, bands array<long>``; no shuffle of its own.
+
+    Shingles are cut from characters of a fixed width, as a place in UTF-8 is only found by counting from the start.
+    ``LANES`` neighbouring shingles make a row, as rows cost more than shingles; behind the last one it is taken again."""
+    rows = _blocks(lines.filter(F.length("line") >= SHINGLE).select("h", "line")).withColumn("last", F.length("part") - (4 * SHINGLE - 1))
+    rows = rows.select("h", "part", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * LANES))).alias("p"))
+    shingle = lambda i: F.substring(F.col("part"), F.least(F.col("p") + 4 * i, F.col("last")), F.lit(4 * SHINGLE))
+    rows = rows.select("h", *[F.xxhash64(shingle(i)).alias(f"s{i}") for i in range(LANES)])
+    least = lambda m: F.min(F.least(*[F.col(f"s{i}").bitwiseXOR(F.lit(m)) for i in range(LANES)]))
+    sig = rows.groupBy("h").agg(*[least(m).alias(f"m{i}") for i, m in enumerate(_masks())])
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     return sig.select(F.col("h").alias("node"), F.array(*bands).alias("bands"))
 
@@ -82,64 +84,98 @@ def _similar(a: Column, b: Column) -> Column:
     return F.exists(sizes, lambda n: n["both"] >= SIMILARITY * (n["all"] - n["both"]))
 
 
-def link_lines(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``node, root`` of all distinct lines that are similar to another.
+def _may_be_similar(x, y) -> Column:
+    """False only where the sets of shingles can't be similar: by their sizes, or by how many of their 32-bit hashes
+    agree, less what collisions of these may take away. A pair that shares several keys is met under the least."""
+    n, m = F.size(x("hashes")), F.size(y("hashes"))
+    both = F.size(F.array_intersect(x("hashes"), y("hashes")))
+    slack = 8 + (n + m).cast("double") * (n + m) / (1 << 31)
+    once = F.array_min(F.array_intersect(x("keys"), y("keys"))) == x("key")
+    return once & (F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & ((1 + SIMILARITY) * (both + slack) >= SIMILARITY * (n + m))
 
-    The distinct lines are dealt out by hash once and kept in buckets, so signatures and the lines that
-    candidates need come from them without another shuffle of text."""
-    spark = rows.sparkSession
-    distinct = occurrences(rows, key, text).groupBy("h").agg(F.first("line").alias("line"))  # equal for all rows of a group
-    with bucketed(distinct, "h", "distinct") as lines:
-        release(spark)
-        sig = store(signatures(lines), "signatures")
-        members = sig.select("node", F.explode("bands").alias("key"))
 
-        def similar(pairs: DataFrame) -> DataFrame:
-            pairs = cut(pairs.distinct())
-            nodes = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-            texts = cut(lines.join(nodes.hint("shuffle_hash"), "h", "left_semi").select("h", "line"))
-            a, b = texts.toDF("a", "la"), texts.toDF("b", "lb")
-            return pairs.join(a, "a").join(b, "b").filter(_similar(F.col("la"), F.col("lb"))).select("a", "b")
+def link_lines(lines: DataFrame) -> DataFrame:
+    """``node, root`` of all lines ``h, line`` (stored in buckets by ``h``, which is unique) that are similar to another.
 
-        return link_buckets(members, similar, one_shuffle=True)
+    Signatures and the lines that candidates need come from the buckets without a shuffle of text."""
+    sig = store(signatures(lines), "signatures")
+    members = sig.select("node", F.explode("bands").alias("key"))
 
+    def texts(nodes: DataFrame) -> DataFrame:
+        return lines.join(nodes.select(F.col("node").alias("h")).distinct().hint("shuffle_hash"), "h", "left_semi").select("h", "line")
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_CHARS) -> DataFrame:
-    """``rid, drops array<int>``: places of the lines to remove, of each row that has any.
+    def similar(pairs: DataFrame) -> DataFrame:
+        have = store(texts(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))), "texts")
+        a, b = have.toDF("a", "la"), have.toDF("b", "lb")
+        out = store(pairs.join(a, "a").join(b, "b").filter(_similar(F.col("la"), F.col("lb"))).select("a", "b"), "similar")
+        drop(have)
+        return out
 
-    ``docs`` has ``_rid``, the row's number."""
-    spark = docs.sparkSession
-    occ = store(occurrences(docs, key, text, least).select("h", "at"), "lines")
-    heads = store(occ.groupBy("h").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")), "heads")
-    labels = link_lines(docs, key, text)
-    release(spark)
-    rooted = heads.join(labels.withColumnRenamed("node", "h"), "h", "left")
-    alone = rooted.filter("root is null and n > 1").select("h", F.col("at").alias("keep"), "n")
+    def among(several: DataFrame) -> DataFrame:
+        keys = several.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a key a band at most
+        sets = texts(several).select(F.col("h").alias("node"), F.transform(shingle_set(F.col("line")), lambda s: F.hash(s)).alias("hashes"))
+        with_sets = store(several.join(keys.join(sets, "node"), "node"), "sets")
+        pairs = store(meet(with_sets, _may_be_similar), "pairs")
+        drop(with_sets)
+        out = similar(pairs)
+        drop(pairs)
+        return out
+
+    labels = link_buckets(members, sig.count() * BANDS, similar, among)
+    drop(sig)
+    return labels
+
+
+def repeated_lines(rows: DataFrame, key: str, text: str, rid: str) -> DataFrame:
+    """Stored ``rid, drops array<int>``: places of the lines to remove, of each row that has any. ``rows`` is a stored
+    table with the row's number in ``rid``."""
+    spark = rows.sparkSession
+    occ = occurrences(rows, key, text, rid)
+    other = F.xxhash64(F.lit(SHINGLE), "line")
+    distinct = occ.groupBy("h").agg(F.first("line").alias("line"), F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), (F.min(other) != F.max(other)).alias("shared"))
+    with bucketed(distinct, "h", "distinct") as lines:
+        release(spark)
+        own = lines.filter(~F.col("shared"))
+        labels = link_lines(own.select("h", "line"))
+        rooted = own.select("h", "at", "n").join(labels.withColumnRenamed("node", "h"), "h", "left")
+        rooted = store(rooted.filter("root is not null or n > 1"), "rooted")
+        shared = store(lines.filter("shared").select("h"), "shared")
+    drop(labels)
+    alone = rooted.filter("root is null").select("h", F.col("at").alias("keep"), "n")
     joined = rooted.filter("root is not null")
-    firsts = joined.groupBy("root").agg(F.min("at").alias("keep"))
-    joined = joined.join(firsts, "root").select("h", "keep", "n")
-    act = cut(alone.unionAll(joined))
-    found = join_hot(occ, act, "h", "n")
-    gone = found.filter("keep is not null and not (at <=> keep)")
-    return gone.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_set("at.pos").alias("drops"))
+    firsts = joined.groupBy("root").agg(F.min("at").alias("keep"), F.count(F.lit(1)).alias("members"))
+    act = store(alone.unionByName(join_hot(joined, firsts, "root", "members").select("h", "keep", "n")), "act")
+    drop(rooted)
+    release(spark)
+    places = store(occ.select("h", "at"), "lines")
+    gone = join_hot(places, act, "h", "n").filter("keep is not null and not (at <=> keep)").select("at")
+    if not shared.isEmpty():
+        again = occ.join(shared, "h").select("line", "at")
+        gone = gone.unionByName(again.join(again.groupBy("line").agg(F.min("at").alias("keep")), "line").filter("not (at <=> keep)").select("at"))
+    drops = store(gone.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_set("at.pos").alias("drops")), "drops")
+    drop(places, act, shared)
+    release(spark)
+    return drops
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``n_lines``, ``dropped`` (the
-    places, from 0, of the lines that were taken out, in order). Lines of fewer than ``least`` characters
-    stay; 1 takes in all lines that aren't blank."""
+    places, from 0, of the lines that were taken out, in order)."""
     names = [c for c in docs.columns if c not in ("n_lines", "dropped")]
-    rows = _with_rows(docs.select(*names))
-    drops = repeated_lines(rows.select(key, text, "_rid"), key, text, least)
-    out = rows.join(drops.withColumnRenamed("rid", "_rid"), "_rid", "left")
+    rid = "rid"
+    while rid in names:
+        rid = "_" + rid
+    rows = store(docs.select(*names, F.monotonically_increasing_id().alias(rid)), "numbered")
+    drops = repeated_lines(rows, key, text, rid)
     lines = F.split(F.col(text).cast("string"), "\n", -1)
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops")), lambda i: F.get(lines, i)), "\n")
-    return out.select(
-        *[(F.when(F.col("drops").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c)) for c in names],
+    gone = F.col("d.drops")
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n")
+    return rows.join(drops.select(F.col("rid").alias(rid), F.struct("drops").alias("d")), rid, "left").select(
+        *[(F.when(gone.isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c)) for c in names],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.sort_array("drops"), F.array().cast("array<int>")).alias("dropped"),
+        F.coalesce(F.sort_array(gone), F.array().cast("array<int>")).alias("dropped"),
     )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))

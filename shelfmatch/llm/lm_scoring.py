@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmatch.llm._common import cut, map_arrow, table
+from shelfmatch.llm._common import map_arrow, store, table
 
 END = b""  # no word is empty
 ALPHA = 0.1
@@ -246,7 +246,7 @@ def _added(pdf: pd.DataFrame) -> pd.DataFrame:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model of the given texts and the stored counts ``word, n`` of all their words."""
     spark = docs.sparkSession
-    counts = cut(count_words(docs, text))
+    counts = store(count_words(docs, text), "counts")
     model = _new_model(spark, counts, vocabulary)
     share = F.pmod(F.xxhash64(key), F.lit(rounds))
     for turn in range(rounds):

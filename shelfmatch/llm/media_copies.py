@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmatch.llm._common import cut, join_hot, map_arrow, store, table
+from shelfmatch.llm._common import drop, join_hot, map_arrow, release, store, table
 from shelfmatch.llm.components import link_buckets
 
 CORNERS = (24, 12)
@@ -201,20 +201,22 @@ def copies(media: DataFrame, key: str = "media_id", data: str = "data") -> DataF
     rows = store(_spread(bytes_of.withColumn("node", F.when(F.col("data").isNotNull(), F.xxhash64("data"))), key), "descriptors")
     given = rows.filter("node is not null")
     heads = store(given.groupBy("node").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n_equal")), "images")
-    found = cut(given.groupBy("node").agg(F.first("spots").alias("spots"), F.first("words").alias("words")))  # equal for all rows of a node
+    found = store(given.groupBy("node").agg(F.first("spots").alias("spots"), F.first("words").alias("words")), "found")  # equal for all rows of a node
     members = found.select("node", F.explode(table_keys("words")).alias("key"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
         a = found.select(F.col("node").alias("a"), F.col("spots").alias("sa"), F.col("words").alias("wa"))
         b = found.select(F.col("node").alias("b"), F.col("spots").alias("sb"), F.col("words").alias("wb"))
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "wa", "sb", "wb")
         return map_arrow(both, _consensus, "a long, b long, votes int").filter(F.col("votes") >= VOTES).select("a", "b")
 
-    labels = link_buckets(members, linked)
+    labels = link_buckets(members, members.count(), linked)
+    drop(found)
     named = heads.select("node", "first", "n_equal").join(labels, "node", "left")
     least = named.filter("root is not null").groupBy("root").agg(F.min("first").alias("far"))
-    ids = cut(named.join(least, "root", "left").select("node", F.coalesce("far", "first").alias("class_id"), "n_equal"))
+    ids = store(named.join(least, "root", "left").select("node", F.coalesce("far", "first").alias("class_id"), "n_equal"), "classes")
+    drop(heads, labels)
+    release(media.sparkSession)
     out = join_hot(given.select(key, "node"), ids, "node", "n_equal").select(key, "class_id", "n_equal")
     return out.unionByName(rows.filter("node is null").select(key, F.col(key).alias("class_id"), F.lit(1).cast("long").alias("n_equal")))
 

@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmatch.llm._common import cut, join_hot, map_arrow, table
-from shelfmatch.llm.components import link_buckets
+from shelfmatch.llm._common import drop, join_hot, map_arrow, release, store, table
+from shelfmatch.llm.components import link_buckets, meet
 
 WORDS = 4
 DISTANCE = 4
@@ -116,32 +116,43 @@ def ring_test(a: Column, b: Column, distance: int = DISTANCE) -> Column:
 def group(prints: DataFrame, key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """Stored ``key, fp`` rows -> ``key, fp, component_id`` (least key reachable), ``n_fingerprint``
     (rows of the same fingerprint)."""
-    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fps = cut(prints.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n_fingerprint")).repartition(spread, "fp"))  # each row becomes 64
-    labels = link_buckets(ring_keys(fps.select("fp"), distance), lambda pairs: pairs.filter(ring_test(F.col("a"), F.col("b"), distance)))
+    spark = prints.sparkSession
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fps = store(prints.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n_fingerprint")).repartition(spread, "fp"), "fingerprints")  # each row becomes 64
+    test = lambda a, b: ring_test(a, b, distance)
+    keys = sum(width for _, width in segments(distance))
+    labels = link_buckets(
+        ring_keys(fps.select("fp"), distance),
+        fps.count() * keys,
+        lambda pairs: pairs.filter(test(F.col("a"), F.col("b"))),
+        lambda several: meet(several, lambda x, y: test(x("node"), y("node"))).distinct(),
+    )
     linked = fps.join(labels.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = linked.join(least, "root").select("fp", F.col("component_id").alias("_far"))
-    ids = cut(fps.join(linked, "fp", "left").select("fp", F.coalesce("_far", "first").alias("component_id"), "n_fingerprint"))
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    linked = join_hot(linked, least, "root", "n").select("fp", F.col("component_id").alias("_far"))
+    ids = store(fps.join(linked, "fp", "left").select("fp", F.coalesce("_far", "first").alias("component_id"), "n_fingerprint"), "components")
+    drop(fps, labels)
+    release(spark)
     return join_hot(prints, ids, "fp", "n_fingerprint")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: that of the least key; rows of equal key and component go by text.
-    Documents without a key are kept."""
-    prints = cut(fingerprints(docs.select(key, text), key, text))
-    groups = group(prints, key)
-    keep = groups.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[key] == keep["_keep"]).drop("_keep")
-    repeated = kept.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col(text)).alias("_text")).filter("_n > 1").withColumnRenamed(key, "_id")
-    twice = kept.join(repeated, kept[key] == repeated["_id"], "left")
+    Documents without a key are kept. Columns of any name are kept as they are."""
     names = docs.columns
-    once = twice.filter("_n is null").select(*names)
-    more = twice.filter(F.col("_n").isNotNull() & F.col(text).eqNullSafe(F.col("_text"))).select(*names).dropDuplicates([key])
-    return once.unionByName(more).unionByName(docs.filter(F.col(key).isNull()))
+    prints = store(fingerprints(docs.select(key, text), key, text), "prints")
+    groups = group(prints, key)
+    keep = groups.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("k")).distinct()
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.struct(*names).alias("doc"))
+    kept = rows.join(keep, "k")
+    repeated = kept.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("least")).filter("n > 1")
+    twice = kept.join(repeated, "k", "left")
+    once = twice.filter("n is null").select("doc")
+    more = twice.filter(F.col("n").isNotNull() & F.col("t").eqNullSafe(F.col("least"))).dropDuplicates(["k"]).select("doc")
+    return once.unionByName(more).unionByName(rows.filter("k is null").select("doc")).select("doc.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    prints = cut(fingerprints(table(spark, sf_dir, "documents")))
+    prints = store(fingerprints(table(spark, sf_dir, "documents")), "prints")
     return group(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_fingerprint")

@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from shelfmatch.llm import queries
+from shelfmatch.llm._common import store
 from tests.llm.test_operators import _plain_fingerprint, _plain_lines
 
 SF = "/root/testdata/sf0.001"
@@ -18,13 +19,13 @@ def test_stages(spark):
     assert out.columns == names
     first = {r.doc_id: r.text for r in out.collect()}
     assert set(first) >= {r.doc_id for r in docs.collect() if len(r.text) > 200}
-    out = corpus_pipeline.STAGES[1][1](spark, out, SF)
+    out = store(corpus_pipeline.STAGES[1][1](spark, store(out, "one"), SF), "two")
     assert out.columns == names
     second = {r.doc_id: r.text for r in out.collect()}
     drops = _plain_lines(first.items())
     want = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in drops) for i, t in first.items()}
     assert second == {i: t for i, t in want.items() if t.strip() or not any(d == i for d, _ in drops)}
-    out = corpus_pipeline.STAGES[2][1](spark, out, SF)
+    out = store(corpus_pipeline.STAGES[2][1](spark, out, SF), "three")
     third = {r.doc_id: r.text for r in out.collect()}
     f = {i: _plain_fingerprint(t) for i, t in second.items()}
     near = {i: [j for j in f if (f[i] ^ f[j]).bit_count() <= 4] for i in f}
