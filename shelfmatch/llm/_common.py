@@ -50,19 +50,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files: nothing but the written table is read again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    if before is None:  # a Spark without this setting: files go when the cleaner finds them
+        yield
+        return
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def store(df: DataFrame, kind: str) -> DataFrame:
     """Write a table to the shared folder and read it back; its lineage ends there.
 
     The table stays until ``drop`` or ``drop_left`` removes it."""
     path = shared_path(df.sparkSession, kind)
     _LEFT[path] = None
-    df.write.option("compression", "zstd").parquet(path)
+    with _own_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of any file system; one that isn't there is no error."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     _LEFT.pop(path, None)
@@ -71,7 +88,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def drop(*tables: DataFrame) -> None:
     """Remove tables of ``store`` (and only such) that no plan reads any more."""
     for t in tables:
-        _delete(t.sparkSession, t._stored_at)
+        delete(t.sparkSession, t._stored_at)
 
 
 def left() -> list[str]:
@@ -83,7 +100,7 @@ def drop_left(spark: SparkSession, paths: list[str]) -> None:
     """Remove those tables, and let Spark's cleaner find shuffles and checkpoints of plans that are gone."""
     for p in paths:
         if p in _LEFT:
-            _delete(spark, p)
+            delete(spark, p)
     release(spark)
 
 
@@ -96,12 +113,13 @@ def bucketed(df: DataFrame, by: str, kind: str) -> Iterator[DataFrame]:
     _LEFT[path] = None
     name = path.rsplit("/", 1)[1].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, by).option("path", path).option("compression", "zstd").saveAsTable(name)
+    with _own_shuffles(spark):
+        df.write.bucketBy(buckets, by).option("path", path).option("compression", "zstd").saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        _delete(spark, path)
+        delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:

@@ -148,11 +148,11 @@ def repeated_lines(rows: DataFrame, key: str, text: str, rid: str) -> DataFrame:
     drop(rooted)
     release(spark)
     places = store(occ.select("h", "at"), "lines")
-    gone = join_hot(places, act, "h", "n").filter("keep is not null and not (at <=> keep)").select("at")
+    gone = join_hot(places, act.hint("shuffle_hash"), "h", "n").filter("keep is not null and not (at <=> keep)").select("at")
     if not shared.isEmpty():
         again = occ.join(shared, "h").select("line", "at")
         gone = gone.unionByName(again.join(again.groupBy("line").agg(F.min("at").alias("keep")), "line").filter("not (at <=> keep)").select("at"))
-    drops = store(gone.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_set("at.pos").alias("drops")), "drops")
+    drops = store(gone.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list("at.pos").alias("drops")), "drops")  # a place comes once
     drop(places, act, shared)
     release(spark)
     return drops
