@@ -1,6 +1,6 @@
 """WARC archives as a chunked record table.
 
-``write_archives`` writes one gzip member a record (WARC/1.1) and returns a manifest of the archives;
+``write_archives`` writes one gzip member a record (WARC/1.1) and returns a manifest of the archives; payloads are never shuffled or sorted, as revisits are found among digests;
 ``read_chunks`` streams archives back as rows of record identifier and chunk number, each with the
 payload's length and SHA-1 so far, so that neither side holds more of a payload than a chunk beyond
 the table's own cell. A record's last chunk carries the full length and digest.
@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -30,93 +32,135 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmatch.llm._common import map_arrow, shared_path, table
+from shelfmatch.llm._common import delete, join_hot, map_arrow, shared_path, table
 
 CHUNK = 1 << 20
 REVISIT_FROM = 1000
 MANIFEST = "archive string, records long"
+POOL = "part string, place long, size long, record_id long, uri string, digest string, bytes long"
+POOL_NAMES = [f.split(" ")[0] for f in POOL.split(", ")]
 CHUNKS = "archive string, record_id long, record_type string, refers_to long, uri string, chunk_no long, chunk binary, bytes_so_far long, digest_so_far string, is_last boolean"
 
 
-def mark_revisits(records: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """``(record_id, uri, payload binary)`` with ``refers_to``: the response's id for a revisit.
+def mark_revisits(index: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
+    """Stored rows ``record_id, digest, bytes, ...`` with ``refers_to``: the response's id for a revisit.
 
-    Only digests and ids are shuffled. A digest's rows are spread over salts and the few digests that
-    repeat are copied to every salt, so a payload that a third of the rows share is no hot key.
-    """
-    salts = 16
-    keyed = records.withColumn("_len", F.octet_length("payload")).withColumn("_sha", F.when(F.col("_len") >= revisit_from, F.sha1("payload")))
-    keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64("record_id", "uri"), F.lit(salts)).cast("int"))
-    groups = keyed.filter("_sha is not null").groupBy("_sha", "_len").agg(F.max("record_id").alias("_top"), F.count(F.lit(1)).alias("_n")).filter("_n > 1 and _top is not null")
-    groups = groups.select("_sha", "_len", "_top", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    small = keyed.filter("_sha is not null").select("record_id", "uri", "_sha", "_len", "_salt")
-    target = small.join(groups, ["_sha", "_len", "_salt"]).filter("record_id is null or record_id <> _top").select(F.struct("record_id", "uri", "_sha", "_len").alias("_key"), "_top").distinct()
-    keyed = keyed.withColumn("_key", F.struct("record_id", "uri", "_sha", "_len"))
-    found = keyed.join(target, keyed["_key"].eqNullSafe(target["_key"]), "left")
-    return found.select("record_id", "uri", "payload", F.col("_top").alias("refers_to"))
-
-
-def _header(kind: str, record_id, uri: str, refers, payload: memoryview, chunk: int) -> bytes:
-    h = hashlib.sha1()
-    for i in range(0, len(payload), chunk):
-        h.update(payload[i : i + chunk])
-    block = 0 if kind == "revisit" else len(payload)
+    A payload that a third of the rows share is no hot key: its digest is joined by broadcast (``join_hot``)."""
+    large = index.filter(F.col("bytes") >= revisit_from)
+    groups = large.groupBy("digest").agg(F.max("record_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1 and top is not null")
+    again = F.when(F.col("top").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("top")), F.col("top"))
+    marked = join_hot(large, groups, "digest", "n").select(*index.columns, again.alias("refers_to"))
+    return marked.unionByName(index.filter(F.col("bytes") < revisit_from).withColumn("refers_to", F.lit(None).cast("long")))
+
+
+def _header(kind: str, record_id: int | None, uri: str, refers: int | None, digest: bytes, size: int) -> bytes:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:record:{'' if record_id is None else record_id}>",
         f"WARC-Target-URI: {quote(uri, safe=':/?#[]@!$&()*+,;=%~-._')}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha1:{base64.b32encode(h.digest()).decode()}",
-        f"X-Payload-Length: {len(payload)}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}",
+        f"X-Payload-Length: {size}",
         "Content-Type: text/html",
     ]
     if kind == "revisit":
         lines += [f"WARC-Refers-To: <urn:record:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    return ("\r\n".join([*lines, f"Content-Length: {block}"]) + "\r\n\r\n").encode()
+    return ("\r\n".join([*lines, f"Content-Length: {0 if kind == 'revisit' else size}"]) + "\r\n\r\n").encode()
+
+
+def _pieces(payload: memoryview, chunk: int) -> Iterator[memoryview]:
+    for at in range(0, len(payload), chunk):
+        yield payload[at : at + chunk]
+
+
+@contextmanager
+def _new_file(where: str, name: str) -> Iterator:
+    """An output stream that gets its name when it is complete."""
+    store, root = pafs.FileSystem.from_uri(where)
+    store.create_dir(root, recursive=True)
+    tmp = f"{root}/_{name}-{os.getpid()}"
+    with store.open_output_stream(tmp, compression=None) as out:
+        yield out
+    store.move(tmp, f"{root}/{name}")
 
 
-def _writer(where: str, chunk: int, level: int):
+def _pool_writer(where: str, chunk: int, level: int):
+    """Write every record as a response, a gzip member each, and say where it is."""
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pafs.FileSystem.from_uri(where)
         at = TaskContext.get()
-        name, out, n = f"part-{at.partitionId():06d}", None, 0
-        tmp = f"{root}/_{name}-{at.taskAttemptId()}-{os.getpid()}.warc.gz"
-        for batch in batches:
-            ids, uris, refers, payloads = (batch.column(k) for k in range(4))
-            for i in range(batch.num_rows):
-                payload = memoryview(payloads[i].as_buffer() or b"")
-                to = refers[i].as_py()
-                kind = "response" if to is None else "revisit"
-                if out is None:
-                    store.create_dir(root, recursive=True)
-                    out = store.open_output_stream(tmp, compression=None)
-                z = zlib.compressobj(level, zlib.DEFLATED, 31)
-                out.write(z.compress(_header(kind, ids[i].as_py(), uris[i].as_py() or "", to, payload, chunk)))
-                if kind == "response":
-                    for k in range(0, len(payload), chunk):
-                        out.write(z.compress(payload[k : k + chunk]))
-                out.write(z.compress(b"\r\n\r\n") + z.flush())
-                n += 1
-        if out is not None:
-            out.close()
-            final = f"{root}/{name}-{at.taskAttemptId()}.warc.gz"
-            store.move(tmp, final)
-            yield pa.RecordBatch.from_arrays([pa.array([os.path.basename(final)]), pa.array([n], pa.int64())], ["archive", "records"])
+        name = f"part-{at.partitionId():06d}-{at.taskAttemptId()}"
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
+        if first is None:
+            return
+        with _new_file(where, name) as out:
+            place = 0
+            for batch in itertools.chain([first], batches):
+                ids, uris, payloads = (batch.column(k) for k in range(3))
+                places, sizes, digests, lengths = [], [], [], []
+                for i in range(batch.num_rows):
+                    payload = memoryview(payloads[i].as_buffer() or b"")
+                    h = hashlib.sha1()
+                    for x in _pieces(payload, chunk):
+                        h.update(x)
+                    z = zlib.compressobj(level, zlib.DEFLATED, 31)
+                    n = out.write(z.compress(_header("response", ids[i].as_py(), uris[i].as_py() or "", None, h.digest(), len(payload))))
+                    for x in _pieces(payload, chunk):
+                        n += out.write(z.compress(x))
+                    n += out.write(z.compress(b"\r\n\r\n") + z.flush())
+                    places.append(place)
+                    sizes.append(n)
+                    digests.append(h.hexdigest())
+                    lengths.append(len(payload))
+                    place += n
+                yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows), *(pa.array(x, pa.int64()) for x in (places, sizes)), ids, uris, pa.array(digests), pa.array(lengths, pa.int64())], POOL_NAMES)
 
     return write
 
 
-def write_archives(records: DataFrame, where: str, chunk: int = CHUNK, level: int = 3) -> DataFrame:
-    """Write ``(record_id long, uri string, refers_to long, payload binary)`` as archives in ``where``.
+def _assembler(pool: str, where: str, chunk: int, level: int):
+    """Make an archive of each pool file: responses are copied as they lie, revisits take the place of their payload."""
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(pool)
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for part, members in itertools.groupby(rows, key=lambda r: r[0]):
+            name, n = f"{part}-{TaskContext.get().taskAttemptId()}.warc.gz", 0
+            with _new_file(where, name) as out, store.open_input_file(f"{root}/{part}") as source:
+                for _, place, size, record_id, uri, digest, length, refers in members:
+                    if refers is None:
+                        source.seek(place)
+                        for at in range(0, size, chunk):
+                            out.write(source.read(min(chunk, size - at)))
+                    else:
+                        z = zlib.compressobj(level, zlib.DEFLATED, 31)
+                        out.write(z.compress(_header("revisit", record_id, uri or "", refers, bytes.fromhex(digest), length) + b"\r\n\r\n") + z.flush())
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["archive", "records"])
+
+    return assemble
+
+
+def write_archives(records: DataFrame, where: str, chunk: int = CHUNK, level: int = 3, revisit_from: int = REVISIT_FROM) -> DataFrame:
+    """Write ``(record_id long, uri string, payload binary)`` as archives in ``where``.
 
+    Payloads go from the table's cell to a file and from file to file, never through a shuffle or a sort: each task first writes
+    its records as responses to a pool file; revisits are found among digests; then each pool file becomes an archive.
     Returns the manifest ``(archive, records)``, itself stored beside the archives.
     """
     if "://" not in where:
         where = "file://" + where
-    rows = records.select("record_id", "uri", "refers_to", "payload")
-    map_arrow(rows, _writer(f"{where}/archives", chunk, level), MANIFEST).write.parquet(f"{where}/manifest")
-    return records.sparkSession.read.parquet(f"{where}/manifest")
+    spark = records.sparkSession
+    map_arrow(records.select("record_id", "uri", "payload"), _pool_writer(f"{where}/pool", chunk, level), POOL).write.parquet(f"{where}/index")
+    marked = mark_revisits(spark.read.schema(POOL).parquet(f"{where}/index"), revisit_from)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = marked.repartition(parts, "part").sortWithinPartitions("part", "place").select(*POOL_NAMES, "refers_to")
+    map_arrow(dealt, _assembler(f"{where}/pool", f"{where}/archives", chunk, level), MANIFEST).write.parquet(f"{where}/manifest")
+    delete(spark, f"{where}/pool")
+    delete(spark, f"{where}/index")
+    return spark.read.schema(MANIFEST).parquet(f"{where}/manifest")
 
 
 class _Stream:
@@ -233,7 +277,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     records = pages.select(F.col("page_id").alias("record_id"), F.coalesce("url", F.lit("")).alias("uri"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     where = shared_path(spark, "warc")
-    chunks = read_chunks(write_archives(mark_revisits(records), where), where)
+    chunks = read_chunks(write_archives(records, where), where)
     return chunks.filter("is_last").select(
         F.col("record_id").alias("page_id"), F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to"
     )
