@@ -8,8 +8,9 @@ had to be escaped; behind order 0 a byte costs 8 bits. The language of least exa
 All languages' trees are merged into one, with the costs of every language at each node, so a text is
 walked once, by array look-ups over whole Arrow batches.
 
-The trees are fitted on a bounded sample: per language at most ``max_docs`` labelled documents of at
-most ``max_chars`` characters, those of least hash. Every document is scored on its whole text.
+The trees are fitted on a bounded sample: per language at most ``max_docs`` labelled documents, those of least
+hash, and of a longer text ``max_chars`` characters from a place that its hash gives. More than
+``MAX_LANGUAGES`` languages are an error. Every document is scored on its whole text.
 
 Defined results: ``und`` and score 0 for a null text, a text without a letter, or where no language was
 learned; rows with a null language are never learned from; equal code lengths go to the language first in
@@ -33,6 +34,7 @@ from shelfmatch.llm._common import map_arrow, table
 ORDER = 4
 MAX_DOCS = 400
 MAX_CHARS = 20_000
+MAX_LANGUAGES = 1000
 PIECE = 1 << 20  # bytes walked at once
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -177,15 +179,17 @@ class Trees:
 
 def sample(labelled: DataFrame, key: str, text: str, lang: str, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> dict[str, list[bytes]]:
     """At most ``max_docs`` texts a language, those of least hash; a hash bound keeps most rows out of the sort."""
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= max_chars))
-    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
-    many = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(key, text).alias("h"))
+    many = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if not many:
         return {}
-    bound = F.lit(None)
-    for r in many:
-        bound = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 3 * max_docs / r["n"]))).otherwise(bound)
-    near = rows.filter(F.pmod("h", F.lit(1 << 20)) <= bound * (1 << 20))
+    if len(many) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    shares = F.create_map(*[F.lit(x) for r in many for x in (r["lang"], min(1.0, 3 * max_docs / r["n"]))])
+    near = rows.filter(F.pmod("h", F.lit(1 << 20)) <= shares[F.col("lang")] * (1 << 20))
+    over = F.length("text") - max_chars
+    near = near.withColumn("text", F.when(over > 0, F.substring(F.col("text"), (F.pmod("h", over + 1) + 1).cast("int"), F.lit(max_chars))).otherwise(F.col("text")))
     top = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", "text"))).filter(F.col("k") <= max_docs)
     out: dict[str, list[bytes]] = {}
     for r in top.select("lang", "text").collect():
