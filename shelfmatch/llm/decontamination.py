@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmatch.llm._common import map_arrow, table
+from shelfmatch.llm._common import join_hot, map_arrow, store, table
 
 WIDTH = 8
 SHORTEST = 5
@@ -315,12 +315,15 @@ def passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text shares no passage with the benchmark.
 
-    Texts, not keys, are what is dropped, so null and repeated keys do no harm.
+    Texts, not keys, are what is dropped, so null and repeated keys do no harm. Columns of any name are kept as they are.
     """
-    digest = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
-    marked = docs.withColumn("_digest", digest)
-    bad = passages(marked.select("_digest", text), benchmark, key="_digest", text=text).select("_digest").distinct()
-    return marked.join(bad, "_digest", "left_anti").select(*docs.columns)
+    digest = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("digest")
+    bad = store(passages(docs.select(digest, F.col(text).alias("t")), benchmark, key="digest", text="t").select("digest").distinct(), "contaminated")
+    marked = docs.select(digest, F.struct(*docs.columns).alias("doc"))
+    if bad.count() <= BROADCAST_ROWS:
+        return marked.join(F.broadcast(bad), "digest", "left_anti").select("doc.*")
+    counted = bad.join(marked.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digest")
+    return join_hot(marked, counted, "digest", "n").filter("n is null").select("doc.*")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
