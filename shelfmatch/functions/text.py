@@ -93,12 +93,13 @@ def variants(c, lower: bool = False) -> Column:
 
 
 def enhanced_description(desc, price=None, quantity=None) -> Column:
-    """Description with average price and quantity, where there are any."""
+    """Description with average price (two decimals) and quantity (one), where there are any; halves go away from zero."""
+    fixed = lambda c, n: F.round(_column(c).cast("decimal(28,10)"), n).cast(f"decimal(28,{n})").cast("string")
     parts = [_column(desc)]
     if price is not None:
-        parts.append(F.when(_column(price).isNotNull(), F.format_string(", average price: $%.2f", _column(price))).otherwise(""))
+        parts.append(F.coalesce(F.concat(F.lit(", average price: $"), fixed(price, 2)), F.lit("")))
     if quantity is not None:
-        parts.append(F.when(_column(quantity).isNotNull(), F.format_string(", average quantity: %.1f", _column(quantity))).otherwise(""))
+        parts.append(F.coalesce(F.concat(F.lit(", average quantity: "), fixed(quantity, 1)), F.lit("")))
     return F.concat(*parts)
 
 

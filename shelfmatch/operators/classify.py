@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmatch.operators.search import knn
+from shelfmatch.functions.vectors import cosine, norm
+from shelfmatch.operators.runtime import cross_blocks
+from shelfmatch.operators.search import BLOCK, knn
 
 
 def prototypes(vectors: DataFrame, category: str = "label", order: str = "vid", vector: str = "vector") -> DataFrame:
@@ -25,12 +27,9 @@ def classify_best(products: DataFrame, protos: DataFrame, category: str = "label
 
 
 def knn_all(protos: DataFrame, products: DataFrame) -> DataFrame:
-    """Similarity of every product to every prototype; the prototypes, a row a category, are a bounded side."""
-    from shelfmatch.functions.vectors import cosine, norm
-
-    small = protos.select("c", F.col("vector").alias("pv"))
-    small = F.broadcast(small) if small.limit(10_001).count() <= 10_000 else small
-    pairs = products.select("vid", "vector").filter(norm("vector") > 0).crossJoin(small)
+    """Similarity of every product to every prototype; prototypes, a row a category, go to the products in blocks."""
+    given = products.select("vid", "vector").filter(norm("vector") > 0)
+    pairs = cross_blocks(given, protos.select("c", F.col("vector").alias("pv")), "c", BLOCK)
     return pairs.select("vid", "c", cosine("vector", "pv").alias("sim"))
 
 

@@ -50,3 +50,17 @@ def attach_category(products: DataFrame, lookup: DataFrame, code: str, normalize
 def distinct_categories(mapping: DataFrame, order: str, target: str = TARGET) -> DataFrame:
     """Categories with the row in which each was first seen."""
     return mapping.filter(F.col(target).isNotNull()).groupBy(target).agg(F.min(order).alias("first_seen"))
+
+
+def lookup_counters(mapping: DataFrame, id_columns: list[str] = ID_COLUMNS, target: str = TARGET) -> DataFrame:
+    """One row: rows, rows skipped for want of a category, rows used, codes that are not null and codes that are empty when normalised."""
+    used = F.col(target).isNotNull()
+    codes = F.filter(F.array(*[F.col(c).cast("string") for c in id_columns]), lambda c: c.isNotNull())
+    empty = F.size(F.filter(codes, lambda c: normalize_code(c) == ""))
+    zero = lambda c: F.coalesce(F.sum(F.when(used, c)), F.lit(0))
+    return mapping.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(~used).alias("skipped_rows"), F.count_if(used).alias("processed_rows"), zero(F.size(codes)).alias("codes"), zero(empty).alias("empty_codes"))
+
+
+def unmapped_count(products: DataFrame, category: str = "usda_code") -> DataFrame:
+    """One row: products, and those without a category."""
+    return products.agg(F.count(F.lit(1)).alias("products"), F.count_if(F.col(category) == NOT_FOUND).alias("unmapped"))

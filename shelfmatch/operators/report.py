@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from shelfmatch.operators.evaluate import ratio
 
@@ -58,7 +59,19 @@ def top_bottom(results: DataFrame, by: str, key: str, n: int) -> DataFrame:
 
 
 def sample_rows(results: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    return results.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows by the digest of key and seed: the same rows on every run and every engine."""
+    return results.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+
+
+def console(df: DataFrame, n: int = 50, digits: int = 4) -> str:
+    """The first ``n`` rows as an aligned table, numbers to the right."""
+    rows = df.limit(n).collect()
+    shown = lambda x: "" if x is None else f"{x:.{digits}f}" if isinstance(x, float) else str(x)
+    cells = [list(map(shown, r)) for r in rows]
+    right = [isinstance(f.dataType, NumericType) for f in df.schema.fields]
+    wide = [max([len(c), *(len(r[i]) for r in cells)]) for i, c in enumerate(df.columns)]
+    line = lambda r: "  ".join(x.rjust(w) if to_right else x.ljust(w) for x, w, to_right in zip(r, wide, right, strict=True)).rstrip()
+    return "\n".join([line(df.columns), line(["-" * w for w in wide]), *map(line, cells)]) + "\n"
 
 
 def markdown(accuracy: DataFrame, stats: DataFrame, contrast: DataFrame, title: str = "Category match analysis", stamp: str = "") -> str:

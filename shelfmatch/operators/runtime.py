@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,3 +27,14 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)
+
+
+def cross_blocks(rows: DataFrame, few: DataFrame, key: str, most: int) -> DataFrame:
+    """Every row with every row of ``few``, a stated set, which goes to the rows by broadcast in blocks of about ``most``."""
+    blocks = max(1, -(-few.count() // most))
+    out = None
+    for b in range(blocks):
+        mine = few if blocks == 1 else few.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        part = rows.crossJoin(F.broadcast(mine))
+        out = part if out is None else out.unionAll(part)
+    return out

@@ -1,7 +1,7 @@
 """Exact nearest neighbours: blocks of queries against all vectors, top k found next to the data.
 
-A block's matrix goes to the tasks (``BLOCK`` queries at most, so its size is fixed); each task keeps
-the best k of its batches for every query, and only those are shuffled. More queries are more blocks.
+A block's matrix goes to the tasks (about ``BLOCK`` queries, so its size is fixed); each task keeps
+the best k of all its vectors for every query, and only those are shuffled. More queries are more blocks.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfmatch.operators.runtime import map_arrow
+from shelfmatch.functions.vectors import cosine
+from shelfmatch.operators.runtime import cross_blocks, map_arrow
 
 BLOCK = 4096
 INITIAL, FINAL = 30, 5
@@ -23,41 +25,47 @@ DIGITS = 9  # similarities that agree to so many digits tie, and go by id
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    wide = max((len(r) for r in rows if r), default=0)
-    out = np.zeros((len(rows), wide))
-    for i, r in enumerate(rows):
-        if r:
-            out[i, : len(r)] = [x or 0.0 for x in r]
+    """Rows of unit length from a list column; a null row or entry counts as zero."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), int(lengths.max(initial=0))))
+    out[np.arange(out.shape[1]) < lengths[:, None]] = pc.fill_null(pc.cast(column.flatten(), pa.float64()), 0.0).to_numpy(zero_copy_only=False)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
 
-def _best(block, k: int, floor: float | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _best(block, k: int):
+    """A task's best k of all its vectors for every query, given out once, at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, pa.DataType]]:
         ids, queries = block.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0), np.empty(0, object)) for _ in ids]  # keys, similarities, ids
+        least, kind = np.full(len(ids), -np.inf), None
         for whole in batches:
+            kind = whole.schema.field(0).type
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 vids = np.array(batch.column(0).to_pylist(), dtype=object)
                 m = _matrix(batch.column(1))
-                if m.shape[1] != queries.shape[1]:
+                if m.shape[1] not in (0, queries.shape[1]):
                     raise ValueError("vectors of different lengths")
-                sims = queries @ m.T
+                sims = queries @ m.T if m.shape[1] else np.zeros((len(ids), len(m)))
                 keys = np.round(sims, DIGITS)
-                order_of = np.argsort(np.argsort(vids, kind="stable"), kind="stable")
-                q, v, s = [], [], []
-                for i in range(len(ids)):
+                for i in np.flatnonzero((keys >= least[:, None]).any(1)):
                     row = keys[i]
-                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                    near = near[np.lexsort((order_of[near], -row[near]))][:k]
-                    if floor is not None:
-                        near = near[sims[i, near] >= floor]
-                    q += [ids[i]] * len(near)
-                    v += vids[near].tolist()
-                    s += sims[i, near].tolist()
-                if q:
-                    yield q, v, s, batch.schema.field(0).type
+                    if len(row) > k:
+                        new = np.flatnonzero(row >= max(least[i], np.partition(row, -k)[-k]))
+                    else:
+                        new = np.flatnonzero(row >= least[i])
+                    key, sim, vid = (np.concatenate(x) for x in zip(held[i], (row[new], sims[i, new], vids[new]), strict=True))
+                    by_id = np.argsort(vid, kind="stable")
+                    order = by_id[np.argsort(-key[by_id], kind="stable")][:k]
+                    held[i] = key[order], sim[order], vid[order]
+                    if len(order) == k:
+                        least[i] = key[order[-1]]
+        if kind is not None:
+            for at in range(0, len(ids), 512):
+                part = range(at, min(at + 512, len(ids)))
+                yield [ids[i] for i in part for _ in held[i][2]], [v for i in part for v in held[i][2]], [x for i in part for x in held[i][1].tolist()], kind
 
     return run
 
@@ -79,7 +87,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", vid: s
         if not got.num_rows:
             continue
         sent = spark.sparkContext.broadcast((got.column(0).to_pylist(), _matrix(got.column(1).combine_chunks())))
-        best = _best(sent, k, None)
+        best = _best(sent, k)
         types = got.schema.field(0).type
 
         def run(batches, best=best, types=types):
@@ -94,6 +102,15 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", vid: s
     return out.withColumn("rk", F.row_number().over(by)).filter(F.col("rk") <= k)
 
 
+def knn_columns(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", vid: str = "vid", vector: str = "vector") -> DataFrame:
+    """The same result as ``knn`` from expressions alone: blocks of queries are broadcast, and each partition keeps its best k
+    of a query before the shuffle. For short vectors and few queries, or where Python workers aren't wanted."""
+    pairs = cross_blocks(vectors.select(vid, F.col(vector).alias("_v")), queries.select(qid, F.col(vector).alias("_q")), qid, BLOCK)
+    scored = pairs.select(qid, vid, cosine("_q", "_v").alias("sim"))
+    by = Window.partitionBy(qid).orderBy(F.round("sim", DIGITS).desc(), vid)
+    return scored.withColumn("rk", F.row_number().over(by)).filter(F.col("rk") <= k)
+
+
 def bidirectional(neighbours: DataFrame, threshold: float | None = None, final: int | None = FINAL, qid: str = "qid", vid: str = "vid") -> DataFrame:
     """Forward, backward and mean similarity of the first search's hits; the threshold comes before the final cut."""
     out = neighbours.withColumns({"forward_similarity": F.col("sim"), "backward_similarity": F.col("sim")})

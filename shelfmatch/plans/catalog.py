@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from shelfmatch.functions import text as tx
 from shelfmatch.functions import vectors as vec
 from shelfmatch.functions.codes import normalize_code
-from shelfmatch.operators import classify, evaluate, lookup, products, report, search
+from shelfmatch.operators import classify, evaluate, lookup, products, report, search, textsearch
+from shelfmatch.operators.runtime import cross_blocks
+from shelfmatch.sources import xlsx
 from shelfmatch.sources.store import absent_rows, metadata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,8 +78,11 @@ def knn_forward_topk(spark, sf):
     return _near(spark, sf).select("qid", "vid", "rk", _six("sim"), F.round(1 - F.col("sim"), 6).alias("distance"))
 
 
-QUERIES["knn_vectorized"] = knn_forward_topk
-SQL["knn_vectorized"] = SQL["knn_forward_topk"]
+@query(SQL["knn_forward_topk"])
+def knn_vectorized(spark, sf):
+    """The search as expressions, without Python workers."""
+    near = search.knn_columns(_queries(spark, sf), _vectors(spark, sf), search.INITIAL)
+    return near.select("qid", "vid", "rk", _six("sim"), F.round(1 - F.col("sim"), 6).alias("distance"))
 
 
 def _rounded(df):
@@ -237,8 +242,18 @@ def clean_transactions(spark, sf):
     return products.clean_transactions(_transactions(spark, sf)).select("l_orderkey", "l_linenumber", "product_description", "price", "quantity")
 
 
-QUERIES["scan_transactions"] = lambda spark, sf: _transactions(spark, sf).select("l_orderkey", "l_linenumber", F.col("Product Description").alias("description"), F.col("Quantity").alias("quantity"))
-SQL["scan_transactions"] = "SELECT l_orderkey, l_linenumber, chr(9) || ' ' || upper(p_name) || ' ' AS description, l_quantity AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey"
+@query("SELECT l_orderkey, l_linenumber, chr(9) || ' ' || upper(p_name) || ' ' AS description, l_quantity AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey")
+def scan_transactions(spark, sf):
+    return _transactions(spark, sf).select("l_orderkey", "l_linenumber", F.col("Product Description").alias("description"), F.col("Quantity").alias("quantity"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS code, s_name AS description, chr(9) || s_nationkey || ' <&> \"x\"' AS note FROM supplier")
+def excel_scan(spark, sf):
+    """The suppliers as workbooks of a hundred rows, read back; two columns by their headers, one with marks that XML escapes."""
+    rows = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("ProductCode"), F.col("s_name").alias("ProductDescription"), F.concat(F.lit("\t"), F.col("s_nationkey").cast("string"), F.lit(' <&> "x"')).alias("Note"))
+    books = xlsx.workbooks(rows, 100)
+    return xlsx.parse(books, rows.columns, "Sheet1").select(F.col("ProductCode").alias("code"), F.col("ProductDescription").alias("description"), F.col("Note").alias("note"))
+
 
 _METRICS = "m AS (SELECT product_description, count(*) AS transaction_count, sum(price::DECIMAL(18,2))::DOUBLE / count(price) AS avg_price, sum(quantity::DECIMAL(18,2))::DOUBLE / count(quantity) AS avg_quantity, min(price) AS min_price, max(price) AS max_price, sum(quantity::DECIMAL(18,2))::DOUBLE AS total_quantity FROM t GROUP BY 1)"
 
@@ -252,10 +267,12 @@ def product_metrics(spark, sf):
     return _metrics(spark, sf)
 
 
-@query(f"WITH {_TRANS}, {_METRICS} SELECT product_description, product_description || printf(', average price: $%.2f', floor(avg_price)) || printf(', average quantity: %.1f', floor(avg_quantity)) AS enhanced FROM m")
+_FIXED = "round({c}::DECIMAL(28,10), {n})::DECIMAL(28,{n})::VARCHAR"
+
+
+@query(f"WITH {_TRANS}, {_METRICS} SELECT product_description, product_description || ', average price: $' || {_FIXED.format(c='avg_price', n=2)} || ', average quantity: ' || {_FIXED.format(c='avg_quantity', n=1)} AS enhanced FROM m")
 def enhanced_description(spark, sf):
-    whole = _metrics(spark, sf).select("product_description", F.floor("avg_price").cast("double").alias("p"), F.floor("avg_quantity").cast("double").alias("q"))
-    return whole.select("product_description", tx.enhanced_description("product_description", "p", "q").alias("enhanced"))
+    return textsearch.described(_metrics(spark, sf)).select("product_description", "enhanced")
 
 
 def _profile_sql() -> str:
@@ -314,15 +331,12 @@ def surrogate_ids(spark, sf):
     return products.surrogate_ids(_unique(spark, sf), "product_description")
 
 
-@query(f"SELECT (row_number() OVER (ORDER BY o) - 1)::BIGINT AS ord, 'N/A' AS usda_code, code AS product_code, d AS product_description FROM ({_RAW})")
+@query(f"SELECT o AS ord, 'N/A' AS usda_code, code AS product_code, d AS product_description FROM ({_RAW})")
 def vector_metadata(spark, sf):
     rows = _raw_products(spark, sf).select((F.col("ord") - F.lit(0)).alias("ord"), F.col("ProductCode").alias("product_code"), F.col("ProductDescription").alias("product_description"), F.lit(None).cast("string").alias("usda_code"))
     return rows.select("ord", metadata(rows).alias("m")).select("ord", "m.*")
 
 
-SQL["vector_metadata"] = f"SELECT o AS ord, 'N/A' AS usda_code, code AS product_code, d AS product_description FROM ({_RAW})"
-
-
 @query("WITH old AS (SELECT vec_id FROM embeddings WHERE label < 5), new AS (SELECT vec_id, label FROM embeddings) SELECT vec_id, label FROM new WHERE vec_id NOT IN (SELECT vec_id FROM old)")
 def vector_add_if_absent(spark, sf):
     e = _t(spark, sf, "embeddings")
@@ -436,7 +450,7 @@ def report_summary(spark, sf):
     )
 
 
-@query()
+@query(f"WITH {_JUDGED} SELECT vid, best, round(similarity, 6) AS similarity, known, is_correct FROM j ORDER BY md5(vid || ':42'), vid LIMIT 10")
 def sample_matches(spark, sf):
     return report.sample_rows(_judged(spark, sf), "vid", 10).select("vid", "best", _six("similarity"), "known", "is_correct")
 
@@ -506,11 +520,7 @@ _SWEEP = [0.2, 0.25, 0.3, 0.35, 0.4]
 
 @query(f"WITH {_CFOUND}, g AS (SELECT unnest([0.2, 0.25, 0.3, 0.35, 0.4])::DOUBLE AS threshold) SELECT threshold, name.cluster, count(*) AS variants, count(cs.d) AS found, count(cs.d) / count(*)::DOUBLE AS recall FROM g CROSS JOIN name LEFT JOIN cs ON name.cluster = cs.cluster AND name.d = cs.d AND cs.sim >= threshold GROUP BY ALL")
 def recall_by_threshold(spark, sf):
-    """Each variant is joined with its similarity once; the grid is then counted in one pass."""
-    rows = _clusters(spark, sf).join(_found(spark, sf), ["cluster", "description"], "left")
-    each = rows.select("cluster", "sim", F.explode(F.lit(_SWEEP)).alias("threshold"))
-    by = each.groupBy("threshold", "cluster").agg(F.count(F.lit(1)).alias("variants"), F.count_if(F.col("sim") >= F.col("threshold")).alias("found"))
-    return by.withColumn("recall", evaluate.ratio("found", "variants"))
+    return evaluate.recall_sweep(_found(spark, sf), _clusters(spark, sf), _SWEEP)
 
 
 @query(f"WITH {_CFOUND} SELECT name.cluster, name.d AS variant FROM name WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.cluster = name.cluster AND cs.d = name.d AND cs.sim >= 0.75)")
@@ -527,7 +537,7 @@ def word_boundary_match(spark, sf):
     """Distinct names are few whatever the number of parts; a pair is tested by one pattern each way."""
     names = _t(spark, sf, "part").select("p_name").distinct()
     terms = names.select(F.substring_index("p_name", " ", 1).alias("term")).unionAll(names.select(F.concat("p_name", F.lit(" x")).alias("term"))).distinct()
-    return names.join(F.broadcast(terms) if terms.limit(10_001).count() <= 10_000 else terms, tx.word_boundary_match("term", "p_name")).select(F.col("p_name").alias("description"), "term")
+    return cross_blocks(names, terms, "term", 10_000).filter(tx.word_boundary_match("term", "p_name")).select(F.col("p_name").alias("description"), "term")
 
 
 _RETRIEVE = f"{_CLUSTER}, rq AS (SELECT a.d AS q, a.cluster, b.d AS hit, row_number() OVER (PARTITION BY a.d ORDER BY round({_COS}, 9) DESC, b.d) AS rk FROM name a, name b QUALIFY rk <= 10), ex AS (SELECT a.d AS q, count(*) AS expected FROM name a JOIN name b ON a.cluster = b.cluster AND a.d <> b.d GROUP BY 1), ok AS (SELECT rq.q, rq.hit, bool_or(coalesce(c.d IS NOT NULL, false)) AS good FROM rq JOIN ex USING (q) LEFT JOIN name c ON c.cluster = rq.cluster AND c.d <> rq.q AND (regexp_matches(rq.hit, {_RX.format('c.d')}) OR regexp_matches(c.d, {_RX.format('rq.hit')})) GROUP BY ALL), per AS (SELECT q, count(*) AS matched, count(*) FILTER (good) AS correct FROM ok GROUP BY 1), one AS (SELECT count(*) AS total_queries, sum(correct)::BIGINT AS correct_matches, sum(matched - correct)::BIGINT AS false_positives, sum(expected - correct)::BIGINT AS false_negatives, sum(matched)::BIGINT AS returned, sum(expected)::BIGINT AS expected FROM per JOIN ex USING (q))"
@@ -536,15 +546,73 @@ _RETRIEVE = f"{_CLUSTER}, rq AS (SELECT a.d AS q, a.cluster, b.d AS hit, row_num
 @query(f"WITH {_RETRIEVE}, s AS ({_sql_sixes(_scored('one', 'correct_matches', 'returned', 'expected'))}) SELECT *, CASE WHEN f1 >= 0.8 THEN 'excellent' WHEN f1 >= 0.6 THEN 'good' WHEN f1 >= 0.4 THEN 'moderate' ELSE 'poor' END AS rating FROM s")
 def retrieval_eval(spark, sf):
     """Each name queries for the others of its cluster; a hit counts if it matches one of them at word boundaries."""
-    names, clusters = _names(spark, sf), _clusters(spark, sf)
-    hits = search.knn(names.withColumnRenamed("vid", "qid"), names, 10).select(F.col("qid").alias("q"), F.col("vid").alias("hit"))
-    member = clusters.select("cluster", F.col("description").alias("c"))
-    pairs = clusters.select("cluster", F.col("description").alias("q")).join(member, "cluster").filter("q <> c").select("q", "c")
-    expected = pairs.groupBy("q").agg(F.count(F.lit(1)).alias("expected"))
-    good = hits.join(pairs, "q").groupBy("q", "hit").agg(F.bool_or(tx.word_boundary_match("c", "hit")).alias("good"))
-    per = good.groupBy("q").agg(F.count(F.lit(1)).alias("matched"), F.count_if("good").alias("correct"))
-    one = per.join(expected, "q").agg(
-        F.count(F.lit(1)).alias("total_queries"), F.sum("correct").alias("correct_matches"), F.sum(F.col("matched") - F.col("correct")).alias("false_positives"),
-        F.sum(F.col("expected") - F.col("correct")).alias("false_negatives"), F.sum("matched").alias("returned"), F.sum("expected").alias("expected"),
-    )
-    return _sixes(evaluate.with_scores(one, "correct_matches", "returned", "expected")).withColumn("rating", evaluate.rating("f1"))
+    return _sixes(evaluate.evaluate_retrieval(_names(spark, sf), _clusters(spark, sf))).withColumn("rating", evaluate.rating("f1"))
+
+
+_RECALLS = f"{_CFOUND}, rec AS (SELECT name.cluster, count(*) AS variants, count(cs.d) AS found, count(cs.d) / count(*)::DOUBLE AS recall FROM name LEFT JOIN cs ON name.cluster = cs.cluster AND name.d = cs.d AND cs.sim >= 0.25 GROUP BY 1)"
+
+
+@query(f"WITH {_RECALLS} SELECT count(*) AS clusters, round(coalesce(avg(recall), 0), 6) AS mean_recall, round(coalesce(sum(found) / nullif(sum(variants), 0)::DOUBLE, 0), 6) AS overall_recall, count(*) FILTER (found = variants) AS perfect, count(*) FILTER (found = 0) AS \"none\" FROM rec")
+def cluster_recall_summary(spark, sf):
+    return evaluate.cluster_summary(cluster_recall(spark, sf)).select("clusters", _six("mean_recall"), _six("overall_recall"), "perfect", "none")
+
+
+@query(f"WITH {_RECALLS} SELECT * FROM rec ORDER BY recall, cluster LIMIT 3")
+def worst_clusters(spark, sf):
+    return evaluate.worst_clusters(cluster_recall(spark, sf))
+
+
+# ---- counters of the lookup ---------------------------------------------------------------------
+
+
+@query(f"WITH {_MAPPING}, {_CELLS}, c AS (SELECT code, {_sql_code('code')} AS norm FROM cells WHERE code IS NOT NULL) SELECT (SELECT count(*) FROM mapping) AS total_rows, (SELECT count(*) FROM mapping WHERE \"USDA_Code\" IS NULL) AS skipped_rows, (SELECT count(*) FROM mapping WHERE \"USDA_Code\" IS NOT NULL) AS processed_rows, (SELECT count(*) FROM c) AS codes, (SELECT count(*) FROM c WHERE norm = '') AS empty_codes")
+def lookup_counters(spark, sf):
+    return lookup.lookup_counters(_mapping(spark, sf))
+
+
+@query(f"WITH {_LOOKUP}, {_UNIQUE} SELECT count(*) AS products, count(*) FILTER (target IS NULL) AS unmapped FROM u LEFT JOIN look ON {_sql_code('product_code')} = look.code")
+def unmapped_count(spark, sf):
+    return lookup.unmapped_count(usda_lookup_left_join(spark, sf))
+
+
+@query(f"SELECT p_partkey, {_expanded('p_name', 'g')} AS p_name, {_expanded('p_type', 'g')} AS p_type FROM (SELECT p_partkey, 'Bnls ' || p_name AS p_name, p_type || ' Stk' AS p_type FROM part)")
+def expand_columns(spark, sf):
+    rows = _t(spark, sf, "part").select("p_partkey", F.concat(F.lit("Bnls "), "p_name").alias("p_name"), F.concat("p_type", F.lit(" Stk")).alias("p_type"))
+    return tx.expand_columns(rows, ["p_name", "p_type", "absent"])
+
+
+# ---- search by text -----------------------------------------------------------------------------
+
+
+def _hashed(name: str, source: str) -> str:
+    """A common table ``name(d, v)`` of the texts ``d`` that ``source`` selects, with their lexical embeddings."""
+    buckets = f"(SELECT d, list_transform(list_filter(string_split(lower(d), ' '), lambda t: t <> ''), lambda t: (('0x' || substr(md5(t), 1, 8))::UBIGINT % 64)::INT) AS b FROM ({source}))"
+    return f"{name} AS (SELECT d, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM {buckets})"
+
+
+_ASKED = "SELECT DISTINCT p_type || ' ' || split_part(p_name, ' ', 1) AS d FROM part"
+_TEXTS = f"{_hashed('asked', _ASKED)}, {_hashed('names', 'SELECT DISTINCT p_name AS d FROM part')}, hit AS (SELECT a.d AS query, b.d AS id, {_COS} AS sim, row_number() OVER (PARTITION BY a.d ORDER BY round({_COS}, 9) DESC, b.d) AS rk FROM asked a, names b QUALIFY rk <= 30)"
+
+
+@query(f"WITH {_TEXTS} SELECT query, rk, id AS product_description, 'N/A' AS usda_code, round(sim, 6) AS similarity, contains(lower(id), lower(split_part(query, ' ', -1))) AS expected FROM hit WHERE rk <= 5 AND sim >= 0.25")
+def search_text(spark, sf):
+    """Texts of a part's type and a word against the names; a column that the table lacks is padded, a hit that holds the word is marked."""
+    parts = _t(spark, sf, "part")
+    asked = parts.select(F.concat_ws(" ", "p_type", F.substring_index("p_name", " ", 1)).alias("query"))
+    table = _names(spark, sf).select(F.col("vid").alias("id"), "vector", F.col("vid").alias("product_description"))
+    found = textsearch.search_text(asked, table, textsearch.HashEmbedder(), 5, 0.25, expected=["product_description", "usda_code"])
+    holds = F.contains(F.lower("product_description"), F.lower(F.substring_index("query", " ", -1)))
+    return found.select("query", "rk", "product_description", "usda_code", F.round("bi_directional_similarity", 6).alias("similarity"), holds.alias("expected"))
+
+
+_BRANDED = "SELECT p_partkey AS id, p_name || ' ' || p_brand AS text FROM part"
+_OTHERS = f"{_hashed('branded', f'SELECT DISTINCT text AS d FROM ({_BRANDED})')}, e AS (SELECT id, text, v FROM ({_BRANDED}) x JOIN branded ON d = text), hit AS (SELECT a.id AS qid, b.id AS vid, a.text AS asked, b.text AS product_description, {_COS} AS sim, row_number() OVER (PARTITION BY a.id ORDER BY round({_COS}, 9) DESC, b.id) AS place FROM e a, e b WHERE a.id % 20 = 0 QUALIFY place <= 30)"
+
+
+@query(f"WITH {_OTHERS} SELECT qid, vid, product_description, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, vid) AS rk, round(sim, 6) AS similarity FROM hit WHERE lower(trim(asked)) <> lower(trim(product_description)) AND sim >= 0.25 QUALIFY rk <= 5")
+def mutual_search_text(spark, sf):
+    """Rows that repeat the query's own text are no hits."""
+    text = _t(spark, sf, "part").select(F.col("p_partkey").alias("vid"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    vectors = text.join(text.select("text").distinct().withColumn("vector", vec.hash_embedding("text")), "text")
+    found = textsearch.mutual_search_text(vectors.filter("vid % 20 = 0").withColumnRenamed("vid", "qid"), vectors)
+    return found.select("qid", "vid", "product_description", "rk", F.round("bi_directional_similarity", 6).alias("similarity"))

@@ -3,7 +3,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from shelfmatch.sources.store import VectorTable
-from shelfmatch.sources.xlsx import read_table, write_results
+from shelfmatch.sources.xlsx import read_table, workbook, write_results
 
 _SHEET = """<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>
 <row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>ProductDescription</t></is></c></row>
@@ -19,9 +19,6 @@ def _workbook(path):
 
 
 def test_xlsx(spark, tmp_path):
-    from shelfmatch.operators.runtime import ship
-
-    ship(spark)
     _workbook(tmp_path / "t.xlsx")
     got = read_table(spark, str(tmp_path / "t.xlsx"), "Sheet1")
     assert [tuple(r) for r in got.orderBy("ProductCode").collect()] == [(None, "Beef"), ("7", "Beef")]
@@ -29,6 +26,18 @@ def test_xlsx(spark, tmp_path):
     assert to.endswith("_threshold_0.70") and spark.read.option("header", True).csv(to).count() == 2
 
 
+def test_workbooks_of_a_folder(spark, tmp_path):
+    odd = [("1", "a <b> & \"c\"\n d "), (None, "é\r\nß"), ("3", None), ("4", "x\x00y")]
+    for i in range(3):
+        (tmp_path / f"b{i}.xlsx").write_bytes(workbook(["Product Code", "N`x"], odd[i:], "Data"))
+    got = read_table(spark, f"{tmp_path}/*.xlsx", "Data")
+    assert got.columns == ["Product Code", "N`x"]
+    want = [r for i in range(3) for r in odd[i:]]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((a, b and b.replace("\0", "\ufffd"))) for a, b in want)
+    (tmp_path / "r.csv").write_text("id,n\n7,1.5\n")
+    assert read_table(spark, str(tmp_path / "r.csv"), schema="id string, n double").first()["n"] == 1.5
+
+
 def test_vector_table(spark, tmp_path):
     table = VectorTable(spark, str(tmp_path / "v"))
     row = lambda i, v: (f"item_{i}", v, (f"d{i}", str(i), "c" if i else "NOT_FOUND"))
