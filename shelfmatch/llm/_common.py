@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -101,7 +102,7 @@ def drop_left(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         if p in _LEFT:
             delete(spark, p)
-    release(spark)
+    release(spark, 0.5)
 
 
 @contextmanager
@@ -122,10 +123,13 @@ def bucketed(df: DataFrame, by: str, kind: str) -> Iterator[DataFrame]:
         delete(spark, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner find shuffles and checkpoints that no plan refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, wait: float = 0) -> None:
+    """Let Spark's cleaner find shuffles and checkpoints that no plan refers to any more. What goes in a first
+    pass may hold others, so there are two where disk is to be free before the next step, with ``wait`` seconds for the cleaner."""
+    for _ in range(2 if wait else 1):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:

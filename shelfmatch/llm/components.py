@@ -125,12 +125,16 @@ def link_buckets(members: DataFrame, total: int, keep: Callable[[DataFrame], Dat
 
 
 def meet(members: DataFrame, condition) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of members ``(key, node, root, n, ...)`` of one bucket and different
+    """Pairs ``(a, b)``, a < b, of stored members ``(key, node, root, n, ...)`` of one bucket and different
     components that meet ``condition(x, y)`` (the two rows' columns by name). It is evaluated in the join, so pairs that don't
-    meet it are never rows; a bucket's members are spread over a task for every ``SPLIT`` of them."""
-    spread = (F.floor(F.col("n") / SPLIT) + 1).cast("int")
-    one = members.withColumn("part", F.explode(F.sequence(F.lit(0), spread - 1))).alias("x")
-    other = members.withColumn("part", F.pmod(F.xxhash64("node"), spread).cast("int")).alias("y")
+    meet it are never rows. Buckets of more than ``SPLIT`` members are spread over a task for every ``SPLIT`` of them."""
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    on = (x("key") == y("key")) & (x("part") == y("part")) & (x("node") < y("node")) & (x("root") != y("root"))
-    return one.hint("merge").join(other, on & condition(x, y)).select(x("node").alias("a"), y("node").alias("b"))
+    ends = lambda joined: joined.select(x("node").alias("a"), y("node").alias("b"))
+    on = (x("key") == y("key")) & (x("node") < y("node")) & (x("root") != y("root"))
+    small = members.filter(F.col("n") <= SPLIT).repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")  # dealt once for both sides
+    out = ends(small.alias("x").hint("merge").join(small.alias("y"), on & condition(x, y)))
+    large = members.filter(F.col("n") > SPLIT)
+    spread = (F.floor(F.col("n") / SPLIT) + 1).cast("int")
+    one = large.withColumn("part", F.explode(F.sequence(F.lit(0), spread - 1))).alias("x")
+    other = large.withColumn("part", F.pmod(F.xxhash64("node"), spread).cast("int")).alias("y")
+    return out.unionAll(ends(one.hint("merge").join(other, (x("part") == y("part")) & on & condition(x, y))))

@@ -98,7 +98,7 @@ def link_lines(lines: DataFrame) -> DataFrame:
     """``node, root`` of all lines ``h, line`` (stored in buckets by ``h``, which is unique) that are similar to another.
 
     Signatures and the lines that candidates need come from the buckets without a shuffle of text."""
-    sig = store(signatures(lines), "signatures")
+    sig, made = store(signatures(lines), "signatures"), []
     members = sig.select("node", F.explode("bands").alias("key"))
 
     def texts(nodes: DataFrame) -> DataFrame:
@@ -109,6 +109,7 @@ def link_lines(lines: DataFrame) -> DataFrame:
         a, b = have.toDF("a", "la"), have.toDF("b", "lb")
         out = store(pairs.join(a, "a").join(b, "b").filter(_similar(F.col("la"), F.col("lb"))).select("a", "b"), "similar")
         drop(have)
+        made.append(out)
         return out
 
     def among(several: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def link_lines(lines: DataFrame) -> DataFrame:
         return out
 
     labels = link_buckets(members, sig.count() * BANDS, similar, among)
-    drop(sig)
+    drop(sig, *made)
     return labels
 
 
@@ -134,7 +135,7 @@ def repeated_lines(rows: DataFrame, key: str, text: str, rid: str) -> DataFrame:
     other = F.xxhash64(F.lit(SHINGLE), "line")
     distinct = occ.groupBy("h").agg(F.first("line").alias("line"), F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), (F.min(other) != F.max(other)).alias("shared"))
     with bucketed(distinct, "h", "distinct") as lines:
-        release(spark)
+        release(spark, 0.5)
         own = lines.filter(~F.col("shared"))
         labels = link_lines(own.select("h", "line"))
         rooted = own.select("h", "at", "n").join(labels.withColumnRenamed("node", "h"), "h", "left")
@@ -154,7 +155,7 @@ def repeated_lines(rows: DataFrame, key: str, text: str, rid: str) -> DataFrame:
         gone = gone.unionByName(again.join(again.groupBy("line").agg(F.min("at").alias("keep")), "line").filter("not (at <=> keep)").select("at"))
     drops = store(gone.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list("at.pos").alias("drops")), "drops")  # a place comes once
     drop(places, act, shared)
-    release(spark)
+    release(spark, 0.5)
     return drops
 
 
