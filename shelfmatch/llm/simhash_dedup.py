@@ -9,7 +9,7 @@ the later steps prune them, and the full Hamming distance decides.
 Equal fingerprints are one node. Components come from ``components.link_buckets``: no bucket's pairs
 are listed in full, and no link between different fingerprints is lost.
 
-Defined results: a null or blank text has fingerprint zero, linked like any other; repeated rows are kept
+Defined results: a null or blank text has fingerprint zero, linked like any other; repeated rows are kept by ``group``
 and share a component; null keys never are a component's least key unless all are null; an empty table
 gives no rows; other columns are ignored by ``fingerprints`` and kept by ``drop_near_duplicates``.
 """
@@ -137,19 +137,14 @@ def group(prints: DataFrame, key: str = "doc_id", distance: int = DISTANCE) -> D
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: that of the least key; rows of equal key and component go by text.
-    Documents without a key are kept. Columns of any name are kept as they are."""
-    names = docs.columns
-    prints = store(fingerprints(docs.select(key, text), key, text), "prints")
-    groups = group(prints, key)
-    keep = groups.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("k")).distinct()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.struct(*names).alias("doc"))
-    kept = rows.join(keep, "k")
-    repeated = kept.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("least")).filter("n > 1")
-    twice = kept.join(repeated, "k", "left")
-    once = twice.filter("n is null").select("doc")
-    more = twice.filter(F.col("n").isNotNull() & F.col("t").eqNullSafe(F.col("least"))).dropDuplicates(["k"]).select("doc")
-    return once.unionByName(more).unionByName(rows.filter("k is null").select("doc")).select("doc.*")
+    """One document of each component: that of the least key, and of those the text of least hash. Rows of equal key
+    in different components are different documents. Documents without a key are kept. Columns of any name are kept as they are."""
+    own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.xxhash64(F.col(text).cast("string")).alias("h")).alias("id")
+    prints = store(fingerprints(docs.select(own, F.col(text).alias("t")), "id", "t"), "prints")
+    keep = group(prints, "id").filter((F.col("id") == F.col("component_id")) & ~F.col("id.none")).select("id").distinct()
+    rows = docs.select(own, F.struct(*docs.columns).alias("doc"))
+    kept = rows.filter("not id.none").join(keep, "id").dropDuplicates(["id"])
+    return kept.select("doc").unionByName(rows.filter("id.none").select("doc")).select("doc.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
