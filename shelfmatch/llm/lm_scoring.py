@@ -1,16 +1,18 @@
 """Language-model scores from a hashed maximum-entropy model.
 
-The model is log-linear over classes of words: p(w | h) = p(class(w) | h) p(w | class(w)). The class is a
-softmax over hashed features of the history h: the last word, the last two words, and the last but one
-(a skip feature), and a bias. Frequent words are classes of their own, the other words of a bounded
-vocabulary (all words from some count on) share classes of about equal mass, and all remaining words share hashed classes. Within a class
+The model is log-linear in three factors: p(w | h) = p(class(w) | h) p(group(w) | class(w), h) p(w | group(w)). Classes and
+groups each are a softmax over hashed features of the history h: the last word, the last two words, and the last but one
+(a skip feature), and a bias; those of the groups are hashed together with the class. Frequent words are classes of their own, the other words of a bounded
+vocabulary (all words from some count on) share classes of about equal mass, each of which is dealt into ``GROUPS`` groups of about equal mass; all remaining words share hashed classes. Within a group
 words go by their count, in a hashed class with 0.1 added and one more unit for the words never seen.
 So the probabilities of all words, an unseen one of each hashed class and the end add up to one.
 
-Counts are taken over every training text. Weights are trained in rounds, each on its own share of the
+Counts are taken over every training text, and the number of feature buckets grows with the square root of the number of
+training tokens, up to ``MOST_BUCKETS``, which bounds the broadcast. Weights are trained in rounds, each on its own share of the
 training texts: tasks send observed and expected feature counts, in shards that are summed in two levels,
 and each update moves a weight by the logarithm of their ratio, divided by the number of active features
-(the step of iterative scaling, an ascent on the likelihood). Only the weights, of fixed size, and the
+(the step of iterative scaling, an ascent on the likelihood). Expected counts are summed as whole numbers of 1 / ``UNIT``, so the
+weights don't depend on how texts are dealt to tasks. Only the weights and the
 vocabulary, of at most ``vocabulary`` words, go to the tasks; the counts of all other words are met by a join.
 
 Defined results: a null text is an empty one, which still has its end; repeated rows are each scored; a null key
@@ -39,12 +41,16 @@ ALPHA = 0.1
 VOCABULARY = 1 << 18
 SINGLE, SHARED, HASHED = 40, 16, 8
 CLASSES = SINGLE + SHARED + HASHED
-BUCKETS = (4096, 4096, 2048)  # last word; last two; last but one
-ACTIVE = len(BUCKETS) + 1
+GROUPS = 64  # of a shared class
+LEAST_BUCKETS, MOST_BUCKETS = 1024, 1 << 17  # for the last word and for the last two; half as many for the last but one
+ACTIVE = 3 + 1
+UNIT = 1 << 16  # expected counts are rounded to a part in so many
 ROUNDS = 3
 PRIOR = 1.0
-LIMIT = 12.0  # of a weight's size, but for the bias
-SHARDS, FAN, MOST_TASKS = 16, 64, 4096
+LIMIT = 12.0  # of a weight's size, but for the bias, so that products of factors stay within a float's bounds
+SHARDS, FAN = 16, 64
+TASK_TOKENS = 1 << 27  # training tokens to a task, at most
+KEYS = 1 << 22  # observed features counted at once
 FLUSH = 300_000
 STEP = 1 << 15  # tokens whose softmax is held at once
 
@@ -97,10 +103,13 @@ class Model:
     distinct: int
     hashed_total: np.ndarray
     hashed_distinct: np.ndarray
-    weights: np.ndarray  # bias, then the buckets of each feature
+    group: np.ndarray  # of each id within its class; -1 where the class has none
+    buckets: tuple[int, int, int]
+    weights: np.ndarray  # of classes: bias, then the buckets of each feature
+    deep: np.ndarray  # of groups: a bias for each shared class, then the buckets of each feature
 
-    def features(self, ids: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """Rows of the weights for each token, from the words before it in its text."""
+    def histories(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last word and the last but one before each token of its text; 1 where there is none."""
         one = np.concatenate([[0], ids[:-1]]).astype(np.uint64) + 2
         two = np.concatenate([[0, 0], ids[:-2]])[: len(ids)].astype(np.uint64) + 2
         one[starts] = 1
@@ -108,34 +117,37 @@ class Model:
         second = starts + 1
         second = second[second < len(ids)]
         two[second] = 1
+        return one, two
+
+    def features(self, one: np.ndarray, two: np.ndarray, cls: np.ndarray | None = None) -> list[np.ndarray]:
+        """Rows of the active weights: those of the classes, or of the groups of a shared class."""
+        a, b, c = self.buckets
         mix = lambda x, n: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(n)
-        a, b, c = BUCKETS
-        rows = [1 + mix(one, a), 1 + a + mix(one * np.uint64(1_000_003) + two, b), 1 + a + b + mix(two + np.uint64(7), c)]
-        return [r.astype(np.int64) for r in rows]
-
-    def factors(self) -> np.ndarray:
-        """Exponentials of the weights, once a task; the bias is in those of the last word. Weights keep to
-        LIMIT, so products of a factor of each feature stay far from a float's bounds."""
-        out = np.exp(self.weights)
-        out[1 : 1 + BUCKETS[0]] *= out[0]
-        return out
+        first, salt = 1, np.uint64(0)
+        if cls is not None:
+            first, salt = SHARED, (cls.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        rows = [first + mix(one + salt, a), first + a + mix(one * np.uint64(1_000_003) + two + salt, b), first + a + b + mix(two + np.uint64(7) + salt, c)]
+        bias = np.zeros(len(one), np.int64) if cls is None else cls - SINGLE
+        return [bias, *(r.astype(np.int64) for r in rows)]
 
-    def classes(self, factors: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(unnormalised class probabilities of each token, their sums)."""
-        z = np.take(factors, rows[0], axis=0)
-        for r in rows[1:]:
-            z *= np.take(factors, r, axis=0)
-        return z, z @ np.ones(CLASSES, np.float32)
+    def factors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of the weights of classes and groups, once a task."""
+        return np.exp(self.weights), np.exp(self.deep)
 
     def log_classes(self, rows: list[np.ndarray]) -> np.ndarray:
         """Natural logarithms of all class probabilities."""
-        z, total = self.classes(self.factors(), rows)
-        return np.log(z) - np.log(total)[:, None]
-
-    def log_class(self, factors: np.ndarray, rows: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the probability of each token's class."""
-        z, total = self.classes(factors, rows)
-        return np.log(z[np.arange(len(cls)), cls].astype(np.float64)) - np.log(total.astype(np.float64))
+        with np.errstate(divide="ignore"):
+            return np.log(softmax(self.factors()[0], rows).astype(np.float64))
+
+    def log_parts(self, factors: tuple[np.ndarray, np.ndarray], ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of each token's class and group."""
+        cls = self.cls[ids]
+        out = np.log(softmax(factors[0], self.features(one, two))[np.arange(len(cls)), cls].astype(np.float64))
+        deep = np.flatnonzero(self.group[ids] >= 0)
+        if len(deep):
+            p = softmax(factors[1], self.features(one[deep], two[deep], cls[deep]))
+            out[deep] += np.log(p[np.arange(len(deep)), self.group[ids[deep]]].astype(np.float64))
+        return out
 
     def lookup(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         words, starts = [], []
@@ -149,6 +161,15 @@ class Model:
         return flat, np.array(starts, np.int64), words
 
 
+def softmax(factors: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Probabilities of each token from the products of its features' factors."""
+    z = np.take(factors, rows[0], axis=0)
+    for r in rows[1:]:
+        z *= np.take(factors, r, axis=0)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], column: int, rows: int = 64) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -193,54 +214,106 @@ def _new_model(spark: SparkSession, counts: DataFrame, vocabulary: int) -> Model
         hashed[zlib.crc32(w) % HASHED] -= n, 1
     mass = np.bincount(cls[: len(top)], weights=size, minlength=CLASSES).astype(np.float64)
     mass[SINGLE + SHARED :] = hashed[:, 0]
+    group = np.full(len(cls), -1, np.int64)
+    groups = np.zeros((SHARED, GROUPS))
+    for k in range(SHARED):
+        own = np.flatnonzero(cls[: len(top)] == SINGLE + k)
+        if len(own):
+            middle = (np.cumsum(size[own]) - size[own] / 2) / size[own].sum()
+            group[own] = np.minimum((middle * GROUPS).astype(int), GROUPS - 1)
+            groups[k] = np.bincount(group[own], weights=size[own], minlength=GROUPS)
     inner = np.zeros(len(cls))
-    inner[: len(top)] = np.log10(size / mass[cls[: len(top)]])
+    shared_ids = np.flatnonzero(group >= 0)
+    inner[shared_ids] = np.log10(size[shared_ids] / groups[cls[shared_ids] - SINGLE, group[shared_ids]])
     base = np.zeros(len(cls))
     base[: len(top)] = np.log10((size + ALPHA) / (total + ALPHA * (distinct + 1)))
-    weights = np.zeros((1 + sum(BUCKETS), CLASSES), np.float32)
-    weights[0] = np.log((mass + PRIOR) / (mass.sum() + PRIOR * CLASSES))
-    return Model({w: i for i, (w, _) in enumerate(top)}, cls, base, inner, int(total), int(distinct), hashed[:, 0], hashed[:, 1], weights)
+    n = LEAST_BUCKETS
+    while 4 * (2 * n) ** 2 <= total and n < MOST_BUCKETS:
+        n *= 2
+    buckets = (n, n, n // 2)
+    weights = np.zeros((1 + sum(buckets), CLASSES), np.float32)
+    deep = np.zeros((SHARED + sum(buckets), GROUPS), np.float32)
+    there = mass > 0
+    there[SINGLE + SHARED :] = True  # unseen words
+    weights[0] = np.where(there, np.log((mass + PRIOR) / (mass.sum() + PRIOR * CLASSES)), -np.inf)
+    filled = groups > 0
+    some = filled.any(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        deep[:SHARED] = np.where(some, np.where(filled, np.log(groups / groups.sum(1, keepdims=True)), -np.inf), 0)
+    return Model({w: i for i, (w, _) in enumerate(top)}, cls, base, inner, int(total), int(distinct), hashed[:, 0], hashed[:, 1], group, buckets, weights, deep)
+
+
+class _Counts:
+    """Observed and expected counts of a weight matrix."""
+
+    def __init__(self, shape: tuple[int, int]):
+        self.shape, self.keys, self.held = shape, [], 0
+        self.seen, self.due = np.zeros(shape[0] * shape[1], np.int64), np.zeros(shape, np.float64)
+
+    def add(self, rows: list[np.ndarray], p: np.ndarray, chosen: np.ndarray) -> None:
+        p = np.rint(p * np.float32(UNIT))
+        for r in rows:
+            order = np.argsort(r.astype(np.uint16) if self.shape[0] <= 1 << 16 else r, kind="stable")
+            at = r[order]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            self.due[at[first]] += np.add.reduceat(p[order], first, axis=0, dtype=np.float64) if len(first) > 1 else p.sum(0, dtype=np.float64)
+            self.keys.append(r * self.shape[1] + chosen)
+            self.held += len(r)
+        if self.held >= KEYS:
+            self.count()
+
+    def count(self) -> None:
+        if self.keys:
+            self.seen += np.bincount(np.concatenate(self.keys), minlength=len(self.seen))
+            self.keys, self.held = [], 0
+
+    def shards(self) -> list[bytes]:
+        self.count()
+        both = np.stack([self.seen.reshape(self.shape), self.due.astype(np.int64)], 2)
+        return [zlib.compress(x.tobytes(), 1) for x in np.array_split(both, SHARDS)]
 
 
 def _gradient(model):
-    """A task's observed and expected counts of its share of texts, in shards of the buckets."""
+    """A task's observed and expected counts of its share of texts, in shards of the buckets, classes before groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         factors = m.factors()
-        seen = np.zeros(m.weights.size, np.float64)
-        due = np.zeros(m.weights.shape, np.float64)
+        top, deep = _Counts(m.weights.shape), _Counts(m.deep.shape)
         some = False
         for block in _blocks(batches, 0):
             ids, starts, _ = m.lookup(block.column(0).to_pylist())
-            rows, cls = m.features(ids, starts), m.cls[ids]
+            one, two = m.histories(ids, starts)
             some = True
             for at in range(0, len(ids), STEP):
-                part, c = [r[at : at + STEP] for r in rows], cls[at : at + STEP]
-                p, total = m.classes(factors, part)
-                p /= total[:, None]
-                due[0] += p.sum(0)
-                seen[:CLASSES] += np.bincount(c, minlength=CLASSES)
-                for r in part:
-                    order = np.argsort(r.astype(np.uint16), kind="stable")
-                    run_of = r[order]
-                    first = np.flatnonzero(np.concatenate([[True], run_of[1:] != run_of[:-1]]))
-                    due[run_of[first]] += np.add.reduceat(p[order], first, axis=0)
-                    np.add.at(seen, r * CLASSES + c, 1.0)
+                w, x, y = ids[at : at + STEP], one[at : at + STEP], two[at : at + STEP]
+                cls = m.cls[w]
+                rows = m.features(x, y)
+                top.add(rows, softmax(factors[0], rows), cls)
+                inside = np.flatnonzero(m.group[w] >= 0)
+                if len(inside):
+                    rows = m.features(x[inside], y[inside], cls[inside])
+                    deep.add(rows, softmax(factors[1], rows), m.group[w[inside]])
         if some:
-            both = np.stack([seen.reshape(due.shape), due], 2).astype(np.float32)
             part = TaskContext.get().partitionId() % FAN
-            shards = [x.tobytes() for x in np.array_split(both, SHARDS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array([part] * SHARDS, pa.int32()), pa.array(shards, pa.binary())], ["shard", "part", "data"])
+            shards = top.shards() + deep.shards()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(shards)), pa.int32()), pa.array([part] * len(shards), pa.int32()), pa.array(shards, pa.binary())], ["shard", "part", "data"])
 
     return run
 
 
 def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(pdf["data"].iloc[0]) // 4)
+    total = 0
     for d in pdf["data"]:
-        total += np.frombuffer(d, np.float32)
-    return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "data": [total.astype(np.float32).tobytes()]})
+        total = total + np.frombuffer(zlib.decompress(d), np.int64)
+    return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "data": [zlib.compress(total.tobytes(), 1)]})
+
+
+def _moved(weights: np.ndarray, shards: list[bytes], biases: int) -> np.ndarray:
+    both = np.concatenate([np.frombuffer(zlib.decompress(d), np.int64) for d in shards]).reshape(*weights.shape, 2).astype(np.float64)
+    out = weights + np.log((both[..., 0] + PRIOR) / (both[..., 1] / UNIT + PRIOR)) / ACTIVE
+    out[biases:] = np.clip(out[biases:], -LIMIT, LIMIT)
+    return out.astype(np.float32)
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
@@ -253,16 +326,14 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
         sent = spark.sparkContext.broadcast(model)
         mine = docs.filter(share == turn).select(_texts(docs, text))
         # a gradient has one size whatever its texts, so there are a few to a core, not one to each file
-        mine = mine.coalesce(min(MOST_TASKS, 2 * spark.sparkContext.defaultParallelism))
+        mine = mine.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-model.total // TASK_TOKENS)))
         parts = map_arrow(mine, _gradient(sent), "shard int, part int, data binary")
         summed = parts.groupBy("shard", "part").applyInPandas(_added, "shard int, data binary").groupBy("shard").applyInPandas(_added, "shard int, data binary")
-        got = {r["shard"]: np.frombuffer(r["data"], np.float32) for r in summed.collect()}
+        got = {r["shard"]: bytes(r["data"]) for r in summed.collect()}
         sent.unpersist()
         if got:
-            both = np.concatenate([got[k] for k in range(SHARDS)]).reshape(-1, CLASSES, 2).astype(np.float64)
-            weights = model.weights + np.log((both[..., 0] + PRIOR) / (both[..., 1] + PRIOR)) / ACTIVE
-            weights[1:] = np.clip(weights[1:], -LIMIT, LIMIT)
-            model.weights = weights.astype(np.float32)
+            model.weights = _moved(model.weights, [got[k] for k in range(SHARDS)], 1)
+            model.deep = _moved(model.deep, [got[SHARDS + k] for k in range(SHARDS)], SHARED)
     return model, counts
 
 
@@ -283,9 +354,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
         factors = m.factors()
         for block in _blocks(batches, 1):
             ids, starts, words = m.lookup(block.column(1).to_pylist())
-            rows, cls, logs = m.features(ids, starts), m.cls[ids], np.empty(len(ids))
+            (one, two), logs = m.histories(ids, starts), np.empty(len(ids))
             for at in range(0, len(ids), STEP):
-                logs[at : at + STEP] = m.log_class(factors, [r[at : at + STEP] for r in rows], cls[at : at + STEP])
+                logs[at : at + STEP] = m.log_parts(factors, ids[at : at + STEP], one[at : at + STEP], two[at : at + STEP])
             known = ids < first
             total = np.add.reduceat(logs / np.log(10) + m.inner[ids], starts)
             base = np.add.reduceat(m.base[ids], starts)
