@@ -13,17 +13,19 @@ Descriptors are made where the bytes are read, and only they are shuffled. Image
 
 Images are binary PGM (P5, 8 bits). Defined results: null bytes, bytes of another format and images too
 small for a patch have no descriptors; equal bytes still make one class, but every null is a class of its
-own; ties of a corner's response go by place; repeated rows are kept; an empty table gives no rows; other
+own; a null key is never the least of its class unless all are null; ties of a corner's response go by place; repeated rows are kept; an empty table gives no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,7 @@ RADIUS = 10
 NEAREST = 40  # bits by which matching descriptors may differ
 PIECES, ROUNDS = 10, 2  # of the tables: each key holds 25 or 26 bits
 VOTES = 5
+PAIRS = 256  # compared at once
 SLACK = 3.0  # pixels by which shifts may differ
 _HEAD = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+255\s")
 
@@ -81,8 +84,9 @@ def pgm(pixels: np.ndarray) -> bytes:
     return b"P5 %d %d 255\n" % (w, h) + np.clip(np.rint(pixels), 0, 255).astype(np.uint8).tobytes()
 
 
-def pixels_of(data: bytes | None) -> np.ndarray | None:
-    m = _HEAD.match(data or b"")
+def pixels_of(data: bytes | pa.Buffer | None) -> np.ndarray | None:
+    data = memoryview(data or b"")
+    m = _HEAD.match(data)
     if not m:
         return None
     w, h = int(m[1]), int(m[2])
@@ -176,23 +180,31 @@ def _spread(media: DataFrame, key: str) -> DataFrame:
     """``key, node, spots, words`` of every row, ``node`` a hash of its bytes; the bytes go no further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [descriptors(pixels_of(x)) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([s.ravel().tolist() for s, _ in got], pa.list_(pa.int32())), pa.array([w.ravel().view(np.int64).tolist() for _, w in got], pa.list_(pa.int64()))],
-                [key, "node", "spots", "words"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(at, PAIRS)
+                got = [descriptors(pixels_of(x.as_buffer())) for x in batch.column(2)]
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(x[k].size for x in got)]), pa.int32()), pa.array(np.concatenate([x[k].ravel() for x in got]).astype(t, copy=False).view(v))) for k, t, v in ((0, np.int32, np.int32), (1, np.uint64, np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], [key, "node", "spots", "words"])
 
     kind = media.schema[key].dataType.simpleString()
     return map_arrow(media.select(key, "node", "data"), run, f"{key} {kind}, node long, spots array<int>, words array<long>")
 
 
+def _rows_of(column: pa.Array, kind: type) -> list[np.ndarray]:
+    """A list column's rows as n x 4 arrays, without a Python object for each entry."""
+    flat = np.asarray(column.flatten(), np.int64).view(kind)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    return [flat[a:b].reshape(-1, 4) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shaped = lambda s, w: (np.array(s, np.int64).reshape(-1, 4), np.array(w, np.int64).view(np.uint64).reshape(-1, 4))
-    for batch in batches:
-        a, b, sa, wa, sb, wb = (c.to_pylist() for c in batch.columns)
-        votes = [agreeing(*shaped(*x), *shaped(*y)) for x, y in zip(zip(sa, wa, strict=True), zip(sb, wb, strict=True), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.int32())], ["a", "b", "votes"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, PAIRS):
+            batch = whole.slice(at, PAIRS)
+            sa, wa, sb, wb = (_rows_of(batch.column(k), kind) for k, kind in ((2, np.int64), (3, np.uint64), (4, np.int64), (5, np.uint64)))
+            votes = [agreeing(*x) for x in zip(sa, wa, sb, wb, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.int32())], ["a", "b", "votes"])
 
 
 def copies(media: DataFrame, key: str = "media_id", data: str = "data") -> DataFrame:
@@ -225,31 +237,30 @@ SIDE = 96
 
 
 def render(vector: list[float] | None) -> np.ndarray:
-    """A picture of a vector: its entries are the weights of an 8 x 8 grid of cosine waves."""
-    v = np.zeros(64)
-    given = np.array([x or 0.0 for x in ([] if vector is None else vector)][:64], np.float64)
+    """A picture of a vector: its entries are the weights of a square grid of cosine waves, of 8 x 8 or as many as there are entries."""
+    given = np.array([x or 0.0 for x in ([] if vector is None else vector)], np.float64)
+    n = max(8, math.isqrt(max(0, len(given) - 1)) + 1)
+    v = np.zeros(n * n)
     v[: len(given)] = given
     at = (np.arange(SIDE) + 0.5) / SIDE * np.pi
-    waves = np.cos(np.outer(np.arange(2, 18, 2), at) + np.arange(8)[:, None])
-    field = np.einsum("uv,uy,vx->yx", v.reshape(8, 8), waves, waves)
+    waves = np.cos(np.outer(np.arange(2, 2 * n + 2, 2), at) + np.arange(n)[:, None])
+    field = np.einsum("uv,uy,vx->yx", v.reshape(n, n), waves, waves, optimize=True)
     spread = field.std()
     return 128 + (field - field.mean()) * (45 / spread if spread > 1e-9 else 0)
 
 
 def pictures(vectors: DataFrame) -> DataFrame:
     """``media_id, data``: a picture of every vector (id 2 n), and for every twentieth an edited copy
-    (id 2 n + 1): cropped to three quarters a side, darker and of less contrast."""
+    (id 2 n + 1): cropped to three quarters a side, darker and of less contrast. A null id gives a picture of null id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, data = [], []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i is None:
-                    continue
                 p = render(v)
-                ids.append(2 * i)
+                ids.append(None if i is None else 2 * i)
                 data.append(pgm(p))
-                if i % 20 == 0:
+                if i is not None and i % 20 == 0:
                     ids.append(2 * i + 1)
                     data.append(pgm(p[9 : 9 + SIDE * 3 // 4, 14 : 14 + SIDE * 3 // 4] * 0.8 + 12))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["media_id", "data"])
