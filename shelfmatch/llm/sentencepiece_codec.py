@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from shelfmatch.llm._common import map_arrow, table
 
 MARK = "▁"
-SEGMENTS = 600_000  # kept by a worker in each of two generations
+SEGMENTS, CHARACTERS = 600_000, 1 << 24  # kept by a worker in each of two generations: at most so many segments, or characters of them
 SHORT = 40  # symbols up to which a flat agenda is faster than a heap
 
 
@@ -34,20 +34,22 @@ class _Recent(dict):
 
     def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.most, self.old = encode, most, {}
+        self.encode, self.most, self.old, self.characters = encode, most, {}, 0
 
     def __missing__(self, segment: str) -> bytes:
         ids = self.old.get(segment)
         if ids is None:
             ids = self.encode(segment)
         self[segment] = ids
+        self.characters += len(segment)
         return ids
 
     def turn(self) -> None:
         """Between batches: a full generation becomes the old one."""
-        if len(self) > self.most:
+        if len(self) > self.most or self.characters > CHARACTERS:
             self.old = dict(self)
             self.clear()
+            self.characters = 0
 
 
 class Codec:
@@ -272,7 +274,9 @@ def encode_decode(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
                     ends = np.cumsum([0, *(len(a) for a in arrays)])
                     cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).astype(np.int32))))
                 if decoded or digests:
-                    back = [c.decode(a.tolist()) for a in arrays]
+                    lists = [a.tolist() for a in arrays]
+                    back = c.library.decode(lists)  # what the library says wins, and a difference is counted
+                    cols[2] = pa.array([w + (c.decode(i) != b) for w, i, b in zip(wrong, lists, back, strict=True)], pa.int64())
                 if decoded:
                     cols.append(pa.array(back, pa.string()))
                 if digests:
