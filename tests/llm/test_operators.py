@@ -115,15 +115,71 @@ def test_lm_scores(spark):
     want = sorted((-1 if i is None else i, len(k := lm_scoring.tokens_of((t or "").encode())), sum(c[w] > 0 for w in k), round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in k), 6)) for i, t in rows)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
-    total = np.exp(model.log_classes(model.features(np.array([1, 2, 3]), np.array([0])))).sum(1)
+    history = model.histories(np.array([1, 2, 3]), np.array([0]))
+    total = np.exp(model.log_classes(model.features(*history))).sum(1)
     assert np.allclose(total, 1, atol=1e-5)
-    mass = np.bincount(model.cls[: -lm_scoring.HASHED], weights=10 ** model.inner[: -lm_scoring.HASHED], minlength=lm_scoring.CLASSES)
+    known = len(model.ids)
+    mass = np.bincount((model.cls * (lm_scoring.GROUPS + 1) + model.group + 1)[:known], weights=10 ** model.inner[:known])
     assert np.allclose(mass[mass > 0], 1)
     empty, none = lm_scoring.train(docs.limit(0))
     assert {r.base_score for r in lm_scoring.score(docs, empty, none).collect()} == {0.0}
     assert lm_scoring.score(docs.limit(0), model, counts).count() == 0
 
 
+def _plain_score(model, counts, text):
+    """The model's formula word by word, in plain Python; and the sum over all words at the first place."""
+    def row(kind, k, one, two):
+        return model.features(np.array([one], np.uint64), np.array([two], np.uint64), None if kind is None else np.array([k]))
+
+    def share(weights, rows, k):
+        z = [math.exp(sum(float(weights[int(r[0])][j]) for r in rows)) for j in range(weights.shape[1])]
+        return z[k] / sum(z)
+
+    known = len(model.ids)
+    ident = lambda w: model.ids.get(w, known + zlib.crc32(w) % lm_scoring.HASHED)
+    words = lm_scoring.tokens_of(text)
+    ids = [ident(w) for w in words]
+
+    def log10_of(w, i, one, two):
+        c = int(model.cls[i])
+        p = share(model.weights, row(None, c, one, two), c)
+        if model.group[i] >= 0:
+            p *= share(model.deep, row("deep", c, one, two), int(model.group[i])) * 10 ** float(model.inner[i])
+        elif i >= known:
+            k = i - known
+            p *= (counts.get(w, 0) + lm_scoring.ALPHA) / (model.hashed_total[k] + lm_scoring.ALPHA * (model.hashed_distinct[k] + 1))
+        return math.log10(p)
+
+    total = 0.0
+    for k, w in enumerate(words):
+        one = ids[k - 1] + 2 if k > 0 else 1
+        two = ids[k - 2] + 2 if k > 1 else 1
+        total += log10_of(w, ids[k], one, two)
+    rest = [w for w in counts if w not in model.ids]
+    unseen = sum(share(model.weights, row(None, 0, 1, 1), int(model.cls[known + k])) * lm_scoring.ALPHA / (model.hashed_total[k] + lm_scoring.ALPHA * (model.hashed_distinct[k] + 1)) for k in range(lm_scoring.HASHED))
+    return total, sum(10 ** log10_of(w, ident(w), 1, 1) for w in [*model.ids, *rest]) + unseen
+
+
+def test_lm_score_against_its_formula(spark):
+    rnd = random.Random(31)
+    rows = [(i, _text(rnd, rnd.randint(1, 40))) for i in range(60)] + [(100, None), (101, ""), (102, "never seen words"), (103, "x" * 200_000 + " " + "y " * 3000)]
+    docs = _docs(spark, rows)
+    some = docs.filter("doc_id < 50")
+    model, counts = lm_scoring.train(some, vocabulary=400)
+    other, _ = lm_scoring.train(some.repartition(7), vocabulary=400)
+    assert np.array_equal(model.weights, other.weights) and np.array_equal(model.deep, other.deep)
+    assert (model.group >= 0).sum() > 20 and np.abs(model.deep[lm_scoring.SHARED :]).max() > 0
+    seen = {bytes(r.word): r.n for r in counts.collect()}
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs, model, counts).collect()}
+    for i, t in rows:
+        if i == 103:
+            continue
+        want, total = _plain_score(model, seen, (t or "").encode())
+        assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-4)
+    assert total == pytest.approx(1, abs=1e-4)
+    assert got[103] < -3000
+
+
 def _plain_bits(texts, text, order):
     seen = {}
     for t in texts:
@@ -281,6 +337,39 @@ def test_media_tables_reach_the_accepted_distance(spark):
         assert sum(bool(keys[2 * k] & keys[2 * k + 1]) for k in range(60)) >= least
 
 
+def test_media_against_all_pairs(spark):
+    """Scaled, noisy and turned copies: what the tables and the consensus find is what comparing all pairs finds, in nine of ten cases or more."""
+    rnd = np.random.default_rng(14)
+    rows = []
+    for i in range(10):
+        p = media_copies.render(rnd.normal(size=64))
+        rows += [(10 * i, p), (10 * i + 1, p[5:85, 8:90] + rnd.normal(0, 4, (80, 82))), (10 * i + 2, np.rot90(p)), (10 * i + 3, np.kron(p[20:70, 20:70], np.ones((2, 2))))]
+    images = {k: media_copies.pgm(p) for k, p in rows}
+    made = {k: media_copies.descriptors(media_copies.pixels_of(x)) for k, x in images.items()}
+    parent = {k: k for k in made}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in made:
+        for b in made:
+            if a < b and media_copies.agreeing(*made[a], *made[b]) >= media_copies.VOTES:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    got = {r.media_id: r.class_id for r in media_copies.copies(spark.createDataFrame(list(images.items()), "media_id long, data binary")).collect()}
+    assert all(find(got[k]) == find(k) for k in got)
+    linked = [k for k in made if find(k) != k]
+    assert len(linked) >= 15 and sum(got[k] == find(k) for k in linked) >= 0.9 * len(linked)
+
+
+def test_pictures_of_any_vector(spark):
+    rows = [(None, [1.0] * 64), (20, [0.5] * 100), (21, None), (22, [0.5] * 64), (23, [0.5] * 100)]
+    got = {r.media_id: bytes(r.data) for r in media_copies.pictures(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert set(got) == {None, 40, 41, 42, 44, 46} and got[40] == got[46] != got[44]
+
+
 def test_media_part_of_a_large_picture(spark):
     rnd = np.random.default_rng(13)
     field = media_copies._box(rnd.normal(size=(480, 480)), 2)
