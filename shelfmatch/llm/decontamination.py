@@ -50,6 +50,8 @@ _WITH_UNIT = re.compile(r"([+\-]?[$€£]?\d[\d.,]*)([^\W\d_]+)")
 _EDGE = re.compile(r"\A[\W_]+|[\W_]+\Z")
 _ENDS = ".!?:;"
 _AROUND = ".,;:!?\"'()[]{}“”‘’"  # no part of a verbatim word
+_MARKS = ".,;:!?"
+_SPECIAL = NUMBER_WORDS | UNITS
 _P = 0x9E3779B97F4A7C15 | 1
 
 
@@ -77,13 +79,25 @@ def parts_of(raw: str) -> list[tuple[int, str]]:
     return [(W, low)]
 
 
+def _row(raw: str) -> tuple[int, int, int, int, int, bool]:
+    """(tokens, kind, hash, second kind, second hash, whether it ends a sentence) of a word; words of letters alone, or
+    with one mark behind them, go by a shorter way to the same."""
+    end = raw[-1] in _ENDS
+    core = raw if raw.isalpha() else raw[:-1] if raw[-1] in _MARKS and raw[:-1].isalpha() else ""
+    if core:
+        low = core if core.islower() else core.lower()
+        if low not in _SPECIAL:
+            return 1, T if len(core) > 1 and core[0].isupper() and core[1:].islower() else W, xxhash.xxh64_intdigest(low, 7), W, 0, end
+    parts = parts_of(raw)
+    two = [(k, _digest(NUM) if k == N else _digest(v)) for k, v in parts] + [(W, 0)] * (2 - len(parts))
+    return len(parts), *two[0], *two[1], end
+
+
 class _Words(dict):
-    """Word -> its row in ``rows``: (tokens, kind, hash, second kind, second hash, whether it ends a sentence)."""
+    """Word -> its number; what it stands for is worked out for all new words of a batch at once."""
 
     def __init__(self):
         super().__init__()
-        self.rows: list[tuple[int, int, int, int, int, bool]] = []
-        self.values: list[list[str]] = []
         self.raws: list[str] = []
         self.plain: dict[int, int] = {}
         self.known = 0
@@ -92,14 +106,15 @@ class _Words(dict):
     _KINDS = (np.int64, np.int8, np.uint64, np.int8, np.uint64, bool)
 
     def columns(self) -> list[np.ndarray]:
-        """The rows as arrays; only rows since the last call are converted."""
-        new = self.rows[self.known :]
+        """The rows of all words as arrays; only words since the last call are looked at."""
+        new = self.raws[self.known :]
         if new:
-            if len(self.rows) > len(self.table[0]):
-                self.table = [np.concatenate([c[: self.known], np.zeros(2 * len(self.rows) - self.known, c.dtype)]) for c in self.table]
-            for c, v in zip(self.table, zip(*new, strict=True), strict=True):
-                c[self.known : len(self.rows)] = np.array(v, c.dtype)
-            self.known = len(self.rows)
+            n = len(self.raws)
+            if n > len(self.table[0]):
+                self.table = [np.concatenate([c[: self.known], np.zeros(2 * n - self.known, c.dtype)]) for c in self.table]
+            for c, v in zip(self.table, zip(*map(_row, new), strict=True), strict=True):
+                c[self.known : n] = np.array(v, c.dtype)
+            self.known = n
         return self.table
 
     def verbatim(self, ids: np.ndarray) -> np.ndarray:
@@ -111,12 +126,8 @@ class _Words(dict):
         return np.array([self.plain[k] for k in some.tolist()], np.uint64)[back]
 
     def __missing__(self, raw: str) -> int:
-        parts = parts_of(raw)
-        two = [(k, _digest(NUM) if k == N else _digest(v)) for k, v in parts] + [(W, 0)] * (2 - len(parts))
-        self[raw] = at = len(self.rows)
-        self.rows.append((len(parts), *two[0], *two[1], raw[-1] in _ENDS))
+        self[raw] = at = len(self.raws)
         self.raws.append(raw)
-        self.values.append([v for _, v in parts])
         return at
 
 
@@ -165,7 +176,7 @@ class Templates:
             self.views.append((np.where(turned, digest[self.word], self.hashes), np.where(turned, 0, self.slot)))
         self.sizes = np.bincount(self.doc, minlength=len(texts)) if len(at) else np.zeros(len(texts), np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        self.values = words.values
+        self.raws = words.raws
 
     @cached_property
     def verbatim(self) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +190,7 @@ class Templates:
 
     def slots(self, p: int, width: int, view: int = 0) -> list[str | None]:
         slot = self.views[view][1]
-        return [None if not k else " nup"[k] + ":" + self.values[w][int(s)] for k, w, s in zip(slot[p : p + width].tolist(), self.word[p : p + width].tolist(), self.second[p : p + width].tolist(), strict=True)]
+        return [None if not k else " nup"[k] + ":" + parts_of(self.raws[w])[int(s)][1] for k, w, s in zip(slot[p : p + width].tolist(), self.word[p : p + width].tolist(), self.second[p : p + width].tolist(), strict=True)]
 
     def words_of(self) -> np.ndarray:
         """Words from each text's first token to its last."""

@@ -564,6 +564,18 @@ def test_decontamination_against_all_windows(spark):
     assert kept.columns == clash.columns and {(r.doc_id, r.digest) for r in kept.collect()} == {(i, "mine") for i, _ in docs if i not in {d for d, _ in got}}
 
 
+def test_short_way_of_words():
+    rnd = random.Random(25)
+    words = ["Straße", "ABC", "A", "a", "Five", "five,", "kg.", "KG", "é", "Él!", "don't", "12kg", "$5", "_x_", "...", "x.y", "ǅ", "ß?", "Mc", "McA", "n\u0303a", "日本", "５", "²", "I.", "ﬁ"]
+    words += ["".join(rnd.choice("aAbBéÉß1.,!_'") for _ in range(rnd.randint(1, 5))) for _ in range(3000)]
+    for w in words:
+        parts = decontamination.parts_of(w)
+        got = decontamination._row(w)
+        assert got[0] == len(parts) and got[5] == (w[-1] in ".!?:;")
+        for (k, v), kind, digest in zip(parts, got[1::2], got[2::2], strict=False):
+            assert (k, decontamination._digest(decontamination.NUM if k == decontamination.N else v)) == (kind, digest), w
+
+
 def test_a_conflict_rejects_its_windows_only(spark):
     rnd = random.Random(10)
     plain = " ".join(rnd.choice(WORDS) for _ in range(30))
