@@ -55,11 +55,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = store(_star(large, False, seen[0]).distinct(), "edges")  # a large step adds no edges
         drop(now, large)
         now = small
-        release(now.sparkSession)
         if seen == (seen := _state(now)):
             break
     out = store(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "components")
     drop(now)
+    release(out.sparkSession)
     return out
 
 
