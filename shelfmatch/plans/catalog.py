@@ -375,6 +375,14 @@ def ground_truth_pairs(spark, sf):
     return lookup.ground_truth_pairs(_mapping(spark, sf), _raw_products(spark, sf), "ProductCode", "ord")
 
 
+@query(f"WITH {_LOOKUP} SELECT * FROM look")
+def excel_lookup(spark, sf):
+    """The lookup from a mapping that went through workbooks, where every cell is a text or absent."""
+    mapping = _mapping(spark, sf)
+    read = xlsx.parse(xlsx.workbooks(mapping, 5000), mapping.columns)
+    return lookup.build_code_lookup(read.withColumn("ord", F.col("ord").cast("long")), "ord")
+
+
 # ---- best category and reports ----------------------------------------------------------------
 
 _PROTO = f"{_E}, proto AS (SELECT label, arg_min(v, vec_id) AS v, min(vec_id) AS first_seen FROM e WHERE label IS NOT NULL GROUP BY label)"
