@@ -46,28 +46,27 @@ class Trees:
         self.langs = sorted(texts)
         self.order = order
         n = len(self.langs)
-        raw = [self._joined(texts[k]) for k in self.langs]
+        raw = [self._joined(texts[k]) for k in self.langs]  # small integers, as are all that follow a place
         seen = np.unique(np.concatenate([r[r >= 0] for r in raw])) if raw else np.array([], np.int16)
         self.symbol = np.zeros(257, np.int32)  # 0: never seen, and the gap between texts
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.width = a = len(seen) + 1
         codes = [self.symbol[r] for r in raw]  # a gap is -1 and so takes the last entry, 0
-        ids = [c.astype(np.int64) for c in codes]  # of the gram of length g that ends at each place
+        before = codes  # of each place, the gram of length g - 1 that ends there; only one length is held
         self.child: list[np.ndarray] = []
         counts = [np.stack([np.bincount(c, minlength=a).astype(np.float64) for c in codes])] if raw else []
         if raw:
             counts[0][:, 0] = 0
         parents, suffixes = ([np.zeros(a, np.int64)], [np.zeros(a, np.int64)]) if raw else ([], [])
-        levels = [ids]
-        for g in range(2, order + 2 if raw else 0):
-            before = levels[-1]
-            keys = [np.where((i[:-1] > 0) & (c[1:] > 0), i[:-1] * a + c[1:], 0) for i, c in zip(before, codes, strict=True)]
-            grams = np.unique(np.concatenate([np.array([0]), *keys]))
+        for _ in range(2, order + 2 if raw else 0):
+            keys = [np.where((i[:-1] > 0) & (c[1:] > 0), i[:-1].astype(np.int64) * a + c[1:], 0) for i, c in zip(before, codes, strict=True)]
+            grams = np.unique(np.concatenate([np.array([0]), *map(np.unique, keys)]))
             child = np.zeros(counts[-1].shape[1] * a, np.int32)
             child[grams] = np.arange(len(grams))
             child[0] = 0
             self.child.append(child)
-            now = [np.concatenate([[0], child[k]]).astype(np.int64) for k in keys]
+            now = [np.concatenate([np.zeros(1, np.int32), child[k]]) for k in keys]
+            del keys
             c = np.stack([np.bincount(i, minlength=len(grams)).astype(np.float64) for i in now])
             c[:, 0] = 0
             counts.append(c)
@@ -77,7 +76,7 @@ class Trees:
                 suffix[i] = shorter
             suffix[0] = 0
             suffixes.append(suffix)
-            levels.append(now)
+            before = now
         self.cost, self.escape, self.offset = self._frozen(n, counts, parents, suffixes)
 
     @staticmethod
