@@ -41,15 +41,16 @@ ALPHA = 0.1
 VOCABULARY = 1 << 18
 SINGLE, SHARED, HASHED = 40, 16, 8
 CLASSES = SINGLE + SHARED + HASHED
-GROUPS = 64  # of a shared class
+GROUPS = 32  # of a shared class
 LEAST_BUCKETS, MOST_BUCKETS = 1024, 1 << 17  # for the last word and for the last two; half as many for the last but one
 ACTIVE = 3 + 1
-UNIT = 1 << 16  # expected counts are rounded to a part in so many
+UNIT = 1 << 15  # expected counts are rounded to a part in so many
 ROUNDS = 3
 PRIOR = 1.0
 LIMIT = 12.0  # of a weight's size, but for the bias, so that products of factors stay within a float's bounds
 SHARDS, FAN = 16, 64
 TASK_TOKENS = 1 << 27  # training tokens to a task, at most
+SHORT_RUN = 32
 KEYS = 1 << 22  # observed features counted at once
 FLUSH = 300_000
 STEP = 1 << 15  # tokens whose softmax is held at once
@@ -248,20 +249,35 @@ class _Counts:
 
     def __init__(self, shape: tuple[int, int]):
         self.shape, self.keys, self.held = shape, [], 0
-        self.seen, self.due = np.zeros(shape[0] * shape[1], np.int64), np.zeros(shape, np.float64)
+        self.seen, self.due = np.zeros(shape[0] * shape[1], np.int64), np.zeros(shape, np.int64)
 
     def add(self, rows: list[np.ndarray], p: np.ndarray, chosen: np.ndarray) -> None:
-        p = np.rint(p * np.float32(UNIT))
+        p = np.rint(p * np.float32(UNIT)).astype(np.int32)  # the sums of STEP tokens stay within 31 bits
         for r in rows:
             order = np.argsort(r.astype(np.uint16) if self.shape[0] <= 1 << 16 else r, kind="stable")
             at = r[order]
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            self.due[at[first]] += np.add.reduceat(p[order], first, axis=0, dtype=np.float64) if len(first) > 1 else p.sum(0, dtype=np.float64)
+            self._add_runs(p, order, at, first)
             self.keys.append(r * self.shape[1] + chosen)
             self.held += len(r)
         if self.held >= KEYS:
             self.count()
 
+    def _add_runs(self, p: np.ndarray, order: np.ndarray, at: np.ndarray, first: np.ndarray) -> None:
+        """Add the sum of each run's rows: long runs one by one, short ones together, a row of each at a time."""
+        n = np.diff(np.append(first, len(at)))
+        for a, k in zip(first[n > SHORT_RUN].tolist(), n[n > SHORT_RUN].tolist(), strict=True):
+            self.due[at[a]] += np.add.reduce(np.take(p, order[a : a + k], axis=0), axis=0, dtype=np.int32)
+        some = np.flatnonzero(n <= SHORT_RUN)
+        some = some[np.argsort(-n[some], kind="stable")]
+        if len(some):
+            fall, from_ = n[some], first[some]
+            total = np.take(p, order[from_], axis=0)
+            for k in range(1, int(fall[0])):
+                m = int(np.searchsorted(-fall, -k))  # runs of more than k rows
+                total[:m] += np.take(p, order[from_[:m] + k], axis=0)
+            self.due[at[from_]] += total
+
     def count(self) -> None:
         if self.keys:
             self.seen += np.bincount(np.concatenate(self.keys), minlength=len(self.seen))
@@ -269,7 +285,7 @@ class _Counts:
 
     def shards(self) -> list[bytes]:
         self.count()
-        both = np.stack([self.seen.reshape(self.shape), self.due.astype(np.int64)], 2)
+        both = np.stack([self.seen.reshape(self.shape), self.due], 2)
         return [zlib.compress(x.tobytes(), 1) for x in np.array_split(both, SHARDS)]
 
 
