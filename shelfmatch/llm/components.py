@@ -1,9 +1,9 @@
 """Distributed union-find and bucket linking, in DataFrame operations only.
 
 ``components`` alternates large-star and small-star steps until the edges are stars around the least
-node of each component. A step is an aggregate and a join on the same key; a node with a 256th of all
-edges or more (256 nodes at most) is joined by broadcast, so its neighbours stay spread. Nothing is
-collected on the driver but a count and a checksum a step.
+least node of each component. A step is an aggregate and a join on the same key; a node with a 256th of all
+edges or more (256 nodes at most) is joined by broadcast, so its neighbours stay spread. Below ``FEW`` edges, a task's work,
+the same steps are taken without that, two to a job. Nothing is collected on the driver but a count and a checksum a step.
 
 ``link_buckets`` finds the components of "two members of one bucket that pass a test": each member is
 tried against the bucket's least member, and then only members whose components still differ are tried
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from shelfmatch.llm._common import HOT_PARTS, drop, join_hot, release, store
 
 SAMPLED = 64  # a node in so many is looked at to find hot keys
+FEW = 1 << 20  # rows that one task may hold under one key
 SPLIT = 512  # members of a bucket to a task in the last step
 
 
@@ -30,7 +31,7 @@ def _star(edges: DataFrame, both: bool, n_edges: int) -> DataFrame:
     if both:
         near = near.unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    joined = join_hot(near, least, "u", "n", n_edges * (2 if both else 1))
+    joined = near.join(least, "u") if n_edges < FEW else join_hot(near, least, "u", "n", n_edges * (2 if both else 1))
     if both:
         return joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     moved = joined.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -51,9 +52,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = store(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _state(now)
     while seen[0]:
-        large = store(_star(now, True, seen[0]).distinct(), "edges")
+        large = _star(now, True, seen[0]).distinct()
+        if seen[0] >= FEW:
+            large = store(large, "edges")
         small = store(_star(large, False, seen[0]).distinct(), "edges")  # a large step adds no edges
-        drop(now, large)
+        drop(now, *([large] if seen[0] >= FEW else []))
         now = small
         if seen == (seen := _state(now)):
             break
@@ -66,6 +69,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _hot_keys(members: DataFrame, total: int) -> list[int]:
     """Keys that hold about a 256th of all members or more, from every 64th node. They only decide how
     a key's members are joined, not which pairs are tried, so a miss costs time and no pair."""
+    if total < FEW:
+        return []
     some = members.filter(F.pmod(F.xxhash64(F.lit(SAMPLED), "node"), F.lit(SAMPLED)) == 0)
     often = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(8, total // SAMPLED // HOT_PARTS))
     return [r["key"] for r in often.select("key").collect()]
