@@ -18,6 +18,8 @@ no rows; a column ``n_lines`` or ``dropped`` of the input is replaced, all other
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ SHINGLE = 8
 BANDS, ROWS = 7, 3
 SIMILARITY = 0.8
 BLOCK = 1 << 14
+PASSES, SMALL = 8, 50_000  # over the members of buckets that hold several components, if they are more than SMALL
 LANES = 4  # shingles to a row while signatures are made
 
 
@@ -114,12 +117,18 @@ def link_lines(lines: DataFrame) -> DataFrame:
 
     def among(several: DataFrame) -> DataFrame:
         keys = several.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a key a band at most
-        sets = texts(several).select(F.col("h").alias("node"), F.transform(shingle_set(F.col("line")), lambda s: F.hash(s)).alias("hashes"))
-        with_sets = store(several.join(keys.join(sets, "node"), "node"), "sets")
-        pairs = store(meet(with_sets, _may_be_similar), "pairs")
-        drop(with_sets)
-        out = similar(pairs)
-        drop(pairs)
+        hashes = texts(several).select(F.col("h").alias("node"), F.transform(shingle_set(F.col("line")), lambda s: F.hash(s)).alias("hashes"))
+        sets = store(keys.join(hashes, "node"), "sets")
+        passes, found = PASSES if several.count() > SMALL else 1, []
+        for k in range(passes):  # a share of the keys at a time, as a node's set goes to each of its keys
+            mine = several if passes == 1 else several.filter(F.pmod(F.xxhash64("key"), F.lit(passes)) == k)
+            with_sets = store(mine.join(sets, "node"), "sets")
+            found.append(store(meet(with_sets, _may_be_similar), "pairs"))
+            drop(with_sets)
+            release(several.sparkSession, 0.2)
+        drop(sets)
+        out = similar(reduce(DataFrame.unionAll, found))
+        drop(*found)
         return out
 
     labels = link_buckets(members, sig.count() * BANDS, similar, among)

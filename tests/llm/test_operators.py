@@ -496,8 +496,10 @@ def test_line_recall_by_length(spark):
         assert sum(bool(bands[k] & bands[k + 1]) for k in range(0, 400, 2)) >= 190
 
 
-def test_many_dissimilar_lines_of_one_passage(spark):
-    """Lines that share a long passage meet in one bucket though few of them are similar."""
+@pytest.mark.parametrize("small", [0, line_dedup.SMALL])
+def test_many_dissimilar_lines_of_one_passage(spark, monkeypatch, small):
+    """Lines that share a long passage meet in one bucket though few of them are similar; in one pass over such buckets and in several."""
+    monkeypatch.setattr(line_dedup, "SMALL", small)
     rnd = random.Random(16)
     passage = _text(rnd, 30)
     made = [f"{passage} {_text(rnd, rnd.randint(5, 25))}" for _ in range(120)]
