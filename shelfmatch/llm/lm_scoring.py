@@ -42,7 +42,7 @@ VOCABULARY = 1 << 18
 SINGLE, SHARED, HASHED = 40, 16, 8
 CLASSES = SINGLE + SHARED + HASHED
 GROUPS = 32  # of a shared class
-LEAST_BUCKETS, MOST_BUCKETS = 1024, 1 << 17  # for the last word and for the last two; half as many for the last but one
+LEAST_BUCKETS, MOST_BUCKETS = 4096, 1 << 17  # for the last word and for the last two; half as many for the last but one
 ACTIVE = 3 + 1
 UNIT = 1 << 15  # expected counts are rounded to a part in so many
 ROUNDS = 3
