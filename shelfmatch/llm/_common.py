@@ -79,6 +79,12 @@ def store(df: DataFrame, kind: str) -> DataFrame:
     return out
 
 
+def few(df: DataFrame) -> DataFrame:
+    """In two partitions a core at most, for a small result of many partitions: these are worked off one
+    after another in a task, and the stored table has fewer files."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a file or folder of any file system; one that isn't there is no error."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

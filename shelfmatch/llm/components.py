@@ -17,10 +17,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmatch.llm._common import HOT_PARTS, drop, join_hot, release, store
+from shelfmatch.llm._common import HOT_PARTS, drop, few, join_hot, release, store
 
 SAMPLED = 64  # a node in so many is looked at to find hot keys
 FEW = 1 << 20  # rows that one task may hold under one key
+WIDE, PIVOTS, GAIN = 32, 4, 8  # of rounds of pivots
 SPLIT = 512  # members of a bucket to a task in the last step
 
 
@@ -78,17 +79,61 @@ def _hot_keys(members: DataFrame, total: int) -> list[int]:
 
 def _with_first(members: DataFrame) -> DataFrame:
     least = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
-    return members.join(least, "key").filter("node <> first").select("key", "first", "node")
+    return members.join(least.hint("shuffle_hash"), "key").filter("node <> first").select("key", "first", "node")
 
 
-def link_buckets(members: DataFrame, total: int, keep: Callable[[DataFrame], DataFrame], among: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _rooted(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+
+def _several(rooted: DataFrame) -> DataFrame:
+    """Stored ``key, node, root, n`` of the buckets whose members are of several components."""
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("key", "n")
+    return store(join_hot(rooted, mixed, "key", "n").filter("n is not null"), "several")
+
+
+def _open_pairs(several: DataFrame) -> int:
+    """Pairs of different components in buckets that are large enough for pivots."""
+    each = several.filter(F.col("n") > WIDE).groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    return int(each.agg(F.coalesce(F.sum(F.col("c") * (F.col("n") - F.col("c"))), F.lit(0))).first()[0]) // 2
+
+
+def pivots(several: DataFrame, keep: Callable[[DataFrame], DataFrame], small: int) -> tuple[list[DataFrame], DataFrame]:
+    """Stored links that are found without listing pairs, and what is left of stored members ``(key, node, root, n)`` with their roots by these links.
+
+    A round tries all members of a bucket of more than ``WIDE`` against ``PIVOTS`` of them, others each time, so a large group of members that
+    are alike becomes one component by few links. Rounds end when no more than ``small`` pairs of different components are left, or
+    no more than so many links are to be expected among them, or a round takes less than a ``GAIN``-th off them; all are the caller's to try."""
+    links, now, left = [], several, _open_pairs(several)
+    while left > small:
+        order = [F.struct(F.xxhash64(F.lit(len(links) * PIVOTS + i), "node").alias("o"), "node", "root") for i in range(PIVOTS)]
+        chosen = now.filter(F.col("n") > WIDE).groupBy("key").agg(F.array_distinct(F.array(*[F.min(o) for o in order])).alias("p"), F.first("n").alias("size"))
+        met = join_hot(now, chosen, "key", "size").filter("p is not null").select("node", "root", F.explode("p").alias("p")).filter("root <> p.root")
+        tried = store(met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "pairs")
+        found, n_tried = keep(tried), tried.count()
+        drop(tried)
+        links.append(found)
+        if left * found.count() <= small * n_tried:
+            break
+        labels = components(found.select("a", "b").unionAll(now.filter("node <> root").select("node", "root").distinct()))
+        rooted = store(_rooted(now.select("key", "node"), labels), "rooted")
+        drop(labels, *([] if now is several else [now]))
+        now = _several(rooted)
+        drop(rooted)
+        if (were := left) - (left := _open_pairs(now)) < were // GAIN:
+            break
+    return links, now
+
+
+def link_buckets(members: DataFrame, total: int, keep: Callable[[DataFrame], DataFrame], among: Callable[[DataFrame], DataFrame] | None = None, prepare: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """``members(key long, node long)``, ``total`` of them, no row twice -> ``(node, root)`` of all nodes that are linked to another.
 
     ``keep`` gets stored candidate pairs ``(a, b)`` and returns those that are links. ``among`` gets the
     members ``(key, node, root, n)`` of buckets whose members are of several components, ``n`` being the
     bucket's size, and returns at least all links ``(a, b)`` among members of one bucket and of different
     components; by default it lists those pairs for ``keep``. So two nodes of a bucket that link end up
-    with one root, whatever the bucket's size. ``members`` is computed twice, so it should be
+    with one root, whatever the bucket's size. ``prepare`` is called once, before the others, with the stored rows ``(key, first, node)``
+    of all buckets of two members or more. ``members`` is computed twice, so it should be
     cheap to derive from a stored table; it is dealt by key once, but for hot keys, whose members stay
     where they are and meet the key's least member by broadcast.
     """
@@ -101,18 +146,19 @@ def link_buckets(members: DataFrame, total: int, keep: Callable[[DataFrame], Dat
         at_hot = members.filter(F.col("key").isin(hot))
         least = at_hot.groupBy("key").agg(F.min("node").alias("first"))  # as many as hot keys
         tried = tried.unionByName(at_hot.join(F.broadcast(least), "key").filter("node <> first").select("key", "first", "node"))
-    tried = store(tried, "tried")
+    tried = store(few(tried), "tried")
     release(spark)
+    if prepare is not None:
+        prepare(tried)
     pairs = store(tried.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = store(keep(pairs).select("a", "b"), "links")
     drop(pairs)
     labels = components(links)
     drop(links)
     all_of = tried.select("key", "node").unionAll(tried.select("key", F.col("first").alias("node")).distinct())
-    rooted = store(all_of.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    rooted = store(_rooted(all_of, labels), "rooted")
     drop(tried)
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("key", "n")
-    several = store(join_hot(rooted, mixed, "key", "n").filter("n is not null"), "several")
+    several = _several(rooted)
     drop(rooted)
     release(spark)
     if among is None:

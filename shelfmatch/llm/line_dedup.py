@@ -23,14 +23,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmatch.llm._common import bucketed, drop, join_hot, release, store, table
-from shelfmatch.llm.components import link_buckets, meet
+from shelfmatch.llm._common import bucketed, drop, few, join_hot, release, store, table
+from shelfmatch.llm.components import WIDE, link_buckets, meet, pivots
 
 SHINGLE = 8
 BANDS, ROWS = 7, 3
 SIMILARITY = 0.8
 BLOCK = 1 << 14
-PASSES, SMALL = 8, 50_000  # over the members of buckets that hold several components, if they are more than SMALL
+PASSES, SMALL = 8, 50_000  # over the members of large buckets that hold several components, if they are more than SMALL; pivots are looked for if their pairs are
+WORD_BITS = 4  # a line is marked in 2^4 words of 64 bits
+WORDS = [f"w{k}" for k in range(1 << WORD_BITS)]
 LANES = 4  # shingles to a row while signatures are made
 
 
@@ -61,15 +63,20 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.select("h", F.encode(F.substring(F.col("line"), F.col("b") * BLOCK + 1, F.lit(BLOCK + SHINGLE - 1)), "UTF-32").alias("part"))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """Distinct ``h, line``, clustered by ``h``, of lines that have a shingle -> ``node, bands array<long>``; no shuffle of its own.
+def _hashes(lines: DataFrame) -> DataFrame:
+    """``h, line`` -> ``h, s0 ...``: hashes of the shingles of lines that have one.
 
     Shingles are cut from characters of a fixed width, as a place in UTF-8 is only found by counting from the start.
     ``LANES`` neighbouring shingles make a row, as rows cost more than shingles; behind the last one it is taken again."""
     rows = _blocks(lines.filter(F.length("line") >= SHINGLE).select("h", "line")).withColumn("last", F.length("part") - (4 * SHINGLE - 1))
     rows = rows.select("h", "part", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * LANES))).alias("p"))
     shingle = lambda i: F.substring(F.col("part"), F.least(F.col("p") + 4 * i, F.col("last")), F.lit(4 * SHINGLE))
-    rows = rows.select("h", *[F.xxhash64(shingle(i)).alias(f"s{i}") for i in range(LANES)])
+    return rows.select("h", *[F.xxhash64(shingle(i)).alias(f"s{i}") for i in range(LANES)])
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """Distinct ``h, line``, clustered by ``h``, of lines that have a shingle -> ``node, bands array<long>``; no shuffle of its own."""
+    rows = _hashes(lines)
     least = lambda m: F.min(F.least(*[F.col(f"s{i}").bitwiseXOR(F.lit(m)) for i in range(LANES)]))
     sig = rows.groupBy("h").agg(*[least(m).alias(f"m{i}") for i, m in enumerate(_masks())])
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
@@ -87,9 +94,26 @@ def _similar(a: Column, b: Column) -> Column:
     return F.exists(sizes, lambda n: n["both"] >= SIMILARITY * (n["all"] - n["both"]))
 
 
+def _marked(lines: DataFrame) -> DataFrame:
+    """``h, line``, clustered by ``h``, -> ``node, line, marks, w0 ...``: the number of shingles, repeats included, and a
+    bit for each shingle's hash; no shuffle of its own."""
+    s = [F.col(f"s{i}") for i in range(LANES)]
+    bit = lambda x, k: F.when(F.shiftrightunsigned(x, 64 - WORD_BITS) == k, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    words = [F.bit_or(reduce(Column.bitwiseOR, [bit(x, k) for x in s])).alias(f"w{k}") for k in range(1 << WORD_BITS)]
+    marks = _hashes(lines).groupBy("h").agg(*words)
+    return lines.join(marks.hint("shuffle_hash"), "h").select(F.col("h").alias("node"), "line", (F.length("line") - (SHINGLE - 1)).alias("marks"), *WORDS)
+
+
 def _may_be_similar(x, y) -> Column:
-    """False only where the sets of shingles can't be similar: by their sizes, or by how many of their 32-bit hashes
-    agree, less what collisions of these may take away. A pair that shares several keys is met under the least."""
+    """False only where the sets of shingles can't be similar: each bit that differs stands for a shingle or more
+    that only one of the lines has, and similar sets have a share of such shingles at most."""
+    differ = reduce(Column.__add__, [F.bit_count(x(w).bitwiseXOR(y(w))) for w in WORDS])
+    return (1 + SIMILARITY) * differ <= (1 - SIMILARITY) * (x("marks") + y("marks")) + 1e-6
+
+
+def _nearly_similar(x, y) -> Column:
+    """The same for members of large buckets, closer: by how many of the shingles' 32-bit hashes agree, less what collisions
+    of these may take away. A pair that shares several keys is met under the least."""
     n, m = F.size(x("hashes")), F.size(y("hashes"))
     both = F.size(F.array_intersect(x("hashes"), y("hashes")))
     slack = 8 + (n + m).cast("double") * (n + m) / (1 << 31)
@@ -100,38 +124,54 @@ def _may_be_similar(x, y) -> Column:
 def link_lines(lines: DataFrame) -> DataFrame:
     """``node, root`` of all lines ``h, line`` (stored in buckets by ``h``, which is unique) that are similar to another.
 
-    Signatures and the lines that candidates need come from the buckets without a shuffle of text."""
-    sig, made = store(signatures(lines), "signatures"), []
+    Signatures and the lines that candidates need come from the buckets without a shuffle of text. Only lines that share
+    a bucket with another are read again, once, and marked: most pairs that fail the test fail by their marks."""
+    sig, made = store(few(signatures(lines)), "signatures"), []
     members = sig.select("node", F.explode("bands").alias("key"))
 
-    def texts(nodes: DataFrame) -> DataFrame:
-        return lines.join(nodes.select(F.col("node").alias("h")).distinct().hint("shuffle_hash"), "h", "left_semi").select("h", "line")
+    def prepare(tried: DataFrame) -> None:
+        nodes = tried.select(F.col("first").alias("h")).unionAll(tried.select("node")).distinct()
+        made.append(store(few(_marked(lines.join(nodes.hint("shuffle_hash"), "h", "left_semi").select("h", "line"))), "marked"))
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        have = store(texts(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))), "texts")
-        a, b = have.toDF("a", "la"), have.toDF("b", "lb")
-        out = store(pairs.join(a, "a").join(b, "b").filter(_similar(F.col("la"), F.col("lb"))).select("a", "b"), "similar")
-        drop(have)
+    def exact(pairs: DataFrame) -> DataFrame:
+        have = made[0].select("node", "line")
+        out = store(pairs.join(have.toDF("a", "la"), "a").join(have.toDF("b", "lb"), "b").filter(_similar(F.col("la"), F.col("lb"))).select("a", "b"), "similar")
         made.append(out)
         return out
 
+    def similar(pairs: DataFrame) -> DataFrame:
+        marks = made[0].drop("line")
+        both = pairs.join(marks.select(F.col("node").alias("a"), F.struct("*").alias("x")), "a").join(marks.select(F.col("node").alias("b"), F.struct("*").alias("y")), "b")
+        some = store(both.filter(_may_be_similar(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))).select("a", "b"), "some")
+        out = exact(some)
+        drop(some)
+        return out
+
     def among(several: DataFrame) -> DataFrame:
-        keys = several.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a key a band at most
-        hashes = texts(several).select(F.col("h").alias("node"), F.transform(shingle_set(F.col("line")), lambda s: F.hash(s)).alias("hashes"))
-        sets = store(keys.join(hashes, "node"), "sets")
-        passes, found = PASSES if several.count() > SMALL else 1, []
-        for k in range(passes):  # a share of the keys at a time, as a node's set goes to each of its keys
-            mine = several if passes == 1 else several.filter(F.pmod(F.xxhash64("key"), F.lit(passes)) == k)
-            with_sets = store(mine.join(sets, "node"), "sets")
-            found.append(store(meet(with_sets, _may_be_similar), "pairs"))
-            drop(with_sets)
-            release(several.sparkSession, 0.2)
-        drop(sets)
-        out = similar(reduce(DataFrame.unionAll, found))
+        links, rest = pivots(several, similar, SMALL)
+        marks = made[0].drop("line")
+        narrow = store(rest.filter(F.col("n") <= WIDE).join(marks, "node"), "marks")
+        found = [store(few(meet(narrow, _may_be_similar)).distinct(), "pairs")]
+        drop(narrow)
+        wide = rest.filter(F.col("n") > WIDE)
+        passes = PASSES if (rows := wide.count()) > SMALL else min(rows, 1)
+        if passes:
+            keys = wide.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a key a band at most
+            sets = store(keys.join(made[0], "node").withColumn("hashes", F.transform(shingle_set(F.col("line")), lambda s: F.hash(s))).drop("line"), "sets")
+            for k in range(passes):  # a share of the keys at a time, as a node's set goes to each of its keys
+                mine = wide if passes == 1 else wide.filter(F.pmod(F.xxhash64("key"), F.lit(passes)) == k)
+                with_sets = store(mine.join(sets, "node"), "sets")
+                found.append(store(few(meet(with_sets, lambda x, y: _may_be_similar(x, y) & _nearly_similar(x, y))), "pairs"))
+                drop(with_sets)
+                release(several.sparkSession, 0.2)
+            drop(sets)
+        if rest is not several:
+            drop(rest)
+        out = exact(reduce(DataFrame.unionAll, found))
         drop(*found)
-        return out
+        return reduce(DataFrame.unionAll, [*links, out])
 
-    labels = link_buckets(members, sig.count() * BANDS, similar, among)
+    labels = link_buckets(members, sig.count() * BANDS, similar, among, prepare)
     drop(sig, *made)
     return labels
 
@@ -148,8 +188,8 @@ def repeated_lines(rows: DataFrame, key: str, text: str, rid: str) -> DataFrame:
         own = lines.filter(~F.col("shared"))
         labels = link_lines(own.select("h", "line"))
         rooted = own.select("h", "at", "n").join(labels.withColumnRenamed("node", "h"), "h", "left")
-        rooted = store(rooted.filter("root is not null or n > 1"), "rooted")
-        shared = store(lines.filter("shared").select("h"), "shared")
+        rooted = store(few(rooted.filter("root is not null or n > 1")), "rooted")
+        shared = store(few(lines.filter("shared").select("h")), "shared")
     drop(labels)
     alone = rooted.filter("root is null").select("h", F.col("at").alias("keep"), "n")
     joined = rooted.filter("root is not null")
