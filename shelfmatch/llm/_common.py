@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -9,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,9 +82,10 @@ def store(df: DataFrame, kind: str) -> DataFrame:
 
 
 def few(df: DataFrame) -> DataFrame:
-    """In two partitions a core at most, for a small result of many partitions: these are worked off one
-    after another in a task, and the stored table has fewer files."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    """In a quarter as many partitions as a shuffle has, or two a core if that is more, for a small result of many
+    partitions: these are worked off one after another in a task, and the stored table has fewer files."""
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -129,11 +132,21 @@ def bucketed(df: DataFrame, by: str, kind: str) -> Iterator[DataFrame]:
         delete(spark, path)
 
 
+def _give_back() -> None:
+    """Return to the system what the driver's Python has freed: the C library and Arrow keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def release(spark: SparkSession, wait: float = 0) -> None:
     """Let Spark's cleaner find shuffles and checkpoints that no plan refers to any more. What goes in a first
     pass may hold others, so there are two where disk is to be free before the next step, with ``wait`` seconds for the cleaner."""
     for _ in range(2 if wait else 1):
         gc.collect()
+        if wait:
+            _give_back()
         spark.sparkContext._jvm.System.gc()
         time.sleep(wait)
 
