@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,36 @@ def store(df: DataFrame, kind: str) -> DataFrame:
     return out
 
 
+def _only_reads_files(df: DataFrame) -> bool:
+    """Whether each row is a row of one file, by columns and filters that give the same when they are computed again."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1:
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias") or not plan.deterministic():
+            return False
+        plan = plan.children().head()
+    name = lambda x: x.getClass().getSimpleName()
+    return name(plan) == "LogicalRelation" and name(plan.relation()) == "HadoopFsRelation"
+
+
+def numbered(df: DataFrame, rid: str) -> DataFrame:
+    """``df`` with a number of each row in ``rid`` that is the same each time it is read.
+
+    Rows that are read from Parquet files are numbered by file and place, without a copy; all others in a stored copy."""
+    spark = df.sparkSession
+    if "_metadata" not in df.columns and _only_reads_files(df):
+        try:
+            placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        except AnalysisException:  # a format that doesn't number its rows
+            placed = None
+        if placed is not None and len({*df.columns, "_file", "_row"}) == len(df.columns) + 2:
+            files = sorted(r[0] for r in placed.select("_file").distinct().collect())
+            if not files:
+                return df.withColumn(rid, F.lit(0).cast("long"))
+            at = spark.range(1).select(F.posexplode(F.lit(files)).alias("_number", "_file"))
+            return placed.join(F.broadcast(at), "_file").select(*df.columns, F.shiftleft(F.col("_number").cast("long"), 40).bitwiseOR(F.col("_row")).alias(rid))
+    return store(df.select("*", F.monotonically_increasing_id().alias(rid)), "numbered")
+
+
 def few(df: DataFrame) -> DataFrame:
     """In a quarter as many partitions as a shuffle has, or two a core if that is more, for a small result of many
     partitions: these are worked off one after another in a task, and the stored table has fewer files."""

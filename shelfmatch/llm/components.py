@@ -78,8 +78,9 @@ def _hot_keys(members: DataFrame, total: int) -> list[int]:
 
 
 def _with_first(members: DataFrame) -> DataFrame:
+    """``<=>`` infers no filter on one side alone, so both sides are one and the same exchange."""
     least = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
-    return members.join(least.hint("shuffle_hash"), "key").filter("node <> first").select("key", "first", "node")
+    return members.join(least.hint("shuffle_hash"), "key").filter("not (node <=> first)").select("key", "first", "node")
 
 
 def _rooted(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -108,7 +109,8 @@ def pivots(several: DataFrame, keep: Callable[[DataFrame], DataFrame], small: in
     while left > small:
         order = [F.struct(F.xxhash64(F.lit(len(links) * PIVOTS + i), "node").alias("o"), "node", "root") for i in range(PIVOTS)]
         chosen = now.filter(F.col("n") > WIDE).groupBy("key").agg(F.array_distinct(F.array(*[F.min(o) for o in order])).alias("p"), F.first("n").alias("size"))
-        met = join_hot(now, chosen, "key", "size").filter("p is not null").select("node", "root", F.explode("p").alias("p")).filter("root <> p.root")
+        other = F.filter("p", lambda p: p["root"] != F.col("root"))  # before they are rows
+        met = join_hot(now, chosen, "key", "size").filter("p is not null").select("node", F.explode(other).alias("p"))
         tried = store(met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "pairs")
         found, n_tried = keep(tried), tried.count()
         drop(tried)

@@ -6,8 +6,8 @@ masks, of which each orders the hashes anew. Lines that share a band are candida
 with probability 0.993), the exact Jaccard similarity of their full shingle sets decides, and a distributed
 union-find joins links to components. Of each component the first line (by document key, then place) stays, in its document.
 
-Rows are numbered once, in a stored copy, and everything after reads that copy, so that a row's number
-means the same row wherever the input came from. Equal lines are one node, so copies cost a row each and no pairs. A node is a line's 64-bit hash; where two
+Rows of files are numbered by their file and place in it, and read from there again; any other rows are numbered once, in a stored
+copy, and everything after reads that copy. So a row's number means the same row wherever the input came from. Equal lines are one node, so copies cost a row each and no pairs. A node is a line's 64-bit hash; where two
 different lines share it (a second hash tells), these lines are compared whole, by their text, and not by similarity.
 
 Every line that isn't blank takes part. Lines of fewer than ``SHINGLE`` characters have no shingle and are compared whole.
@@ -18,12 +18,13 @@ no rows; a column ``n_lines`` or ``dropped`` of the input is replaced, all other
 
 from __future__ import annotations
 
+from contextlib import ExitStack
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmatch.llm._common import bucketed, drop, few, join_hot, release, store, table
+from shelfmatch.llm._common import bucketed, drop, few, join_hot, numbered, release, store, table
 from shelfmatch.llm.components import WIDE, link_buckets, meet, pivots
 
 SHINGLE = 8
@@ -125,18 +126,20 @@ def link_lines(lines: DataFrame) -> DataFrame:
     """``node, root`` of all lines ``h, line`` (stored in buckets by ``h``, which is unique) that are similar to another.
 
     Signatures and the lines that candidates need come from the buckets without a shuffle of text. Only lines that share
-    a bucket with another are read again, once, and marked: most pairs that fail the test fail by their marks."""
-    sig, made = store(few(signatures(lines)), "signatures"), []
+    a bucket with another are read again, once, and marked: most pairs that fail the test fail by their marks. The marked
+    lines are kept in buckets too, so only pairs, and the text or marks of a pair's first line, are shuffled."""
+    sig, made, tested, held = store(few(signatures(lines)), "signatures"), [], [], ExitStack()
     members = sig.select("node", F.explode("bands").alias("key"))
 
     def prepare(tried: DataFrame) -> None:
         nodes = tried.select(F.col("first").alias("h")).unionAll(tried.select("node")).distinct()
-        made.append(store(few(_marked(lines.join(nodes.hint("shuffle_hash"), "h", "left_semi").select("h", "line"))), "marked"))
+        marked = _marked(lines.join(nodes.hint("shuffle_hash"), "h", "left_semi").select("h", "line"))
+        made.append(held.enter_context(bucketed(marked, "node", "marked")))
 
     def exact(pairs: DataFrame) -> DataFrame:
         have = made[0].select("node", "line")
         out = store(pairs.join(have.toDF("a", "la"), "a").join(have.toDF("b", "lb"), "b").filter(_similar(F.col("la"), F.col("lb"))).select("a", "b"), "similar")
-        made.append(out)
+        tested.append(out)
         return out
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -171,14 +174,15 @@ def link_lines(lines: DataFrame) -> DataFrame:
         drop(*found)
         return reduce(DataFrame.unionAll, [*links, out])
 
-    labels = link_buckets(members, sig.count() * BANDS, similar, among, prepare)
-    drop(sig, *made)
+    with held:
+        labels = link_buckets(members, sig.count() * BANDS, similar, among, prepare)
+    drop(sig, *tested)
     return labels
 
 
 def repeated_lines(rows: DataFrame, key: str, text: str, rid: str) -> DataFrame:
-    """Stored ``rid, drops array<int>``: places of the lines to remove, of each row that has any. ``rows`` is a stored
-    table with the row's number in ``rid``."""
+    """Stored ``rid, drops array<int>``: places of the lines to remove, of each row that has any. ``rows`` are
+    ``numbered`` in ``rid``."""
     spark = rows.sparkSession
     occ = occurrences(rows, key, text, rid)
     other = F.xxhash64(F.lit(SHINGLE), "line")
@@ -215,7 +219,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rid = "rid"
     while rid in names:
         rid = "_" + rid
-    rows = store(docs.select(*names, F.monotonically_increasing_id().alias(rid)), "numbered")
+    rows = numbered(docs.select(*names), rid)
     drops = repeated_lines(rows, key, text, rid)
     lines = F.split(F.col(text).cast("string"), "\n", -1)
     gone = F.col("d.drops")
