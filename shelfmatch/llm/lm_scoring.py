@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,7 @@ SHORT_RUN = 32
 KEYS = 1 << 22  # observed features counted at once
 FLUSH = 300_000
 STEP = 1 << 15  # tokens whose softmax is held at once
+NEAR = 1 << 11  # tokens whose products are made at once, in the processor's cache
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -143,11 +145,10 @@ class Model:
     def log_parts(self, factors: tuple[np.ndarray, np.ndarray], ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each token's class and group."""
         cls = self.cls[ids]
-        out = np.log(softmax(factors[0], self.features(one, two))[np.arange(len(cls)), cls].astype(np.float64))
+        out = log_softmax(factors[0], self.features(one, two), cls)
         deep = np.flatnonzero(self.group[ids] >= 0)
         if len(deep):
-            p = softmax(factors[1], self.features(one[deep], two[deep], cls[deep]))
-            out[deep] += np.log(p[np.arange(len(deep)), self.group[ids[deep]]].astype(np.float64))
+            out[deep] += log_softmax(factors[1], self.features(one[deep], two[deep], cls[deep]), self.group[ids[deep]])
         return out
 
     def lookup(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -155,20 +156,39 @@ class Model:
         for t in texts:
             starts.append(len(words))
             words += tokens_of(t)
-        known, first = self.ids.get, len(self.cls) - HASHED
-        ids = [known(w) for w in words]
-        crc = zlib.crc32
-        flat = np.fromiter((first + crc(w) % HASHED if i is None else i for i, w in zip(ids, words, strict=True)), np.int64, len(ids))
+        first, crc = len(self.cls) - HASHED, zlib.crc32
+        flat = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
+        rare = np.flatnonzero(flat < 0)
+        flat[rare] = [first + crc(words[k]) % HASHED for k in rare.tolist()]
         return flat, np.array(starts, np.int64), words
 
 
+def _products(factors: np.ndarray, rows: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray]]:
+    """Products of the features' factors, ``NEAR`` tokens at a time, in one place that the next block overwrites."""
+    held = np.empty((2, NEAR, factors.shape[1]), factors.dtype)
+    for at in range(0, len(rows[0]), NEAR):
+        here = slice(at, min(at + NEAR, len(rows[0])))
+        z, other = held[:, : here.stop - at]
+        np.take(factors, rows[0][here], axis=0, out=z, mode="clip")  # clip: written without a copy; all rows are in range
+        for r in rows[1:]:
+            z *= np.take(factors, r[here], axis=0, out=other, mode="clip")
+        yield here, z
+
+
 def softmax(factors: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     """Probabilities of each token from the products of its features' factors."""
-    z = np.take(factors, rows[0], axis=0)
-    for r in rows[1:]:
-        z *= np.take(factors, r, axis=0)
-    z /= z.sum(1, keepdims=True)
-    return z
+    out = np.empty((len(rows[0]), factors.shape[1]), factors.dtype)
+    for here, z in _products(factors, rows):
+        np.divide(z, z.sum(1, keepdims=True), out=out[here])
+    return out
+
+
+def log_softmax(factors: np.ndarray, rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each token's chosen column; the others aren't made."""
+    p = np.empty(len(chosen), factors.dtype)
+    for here, z in _products(factors, rows):
+        p[here] = z[np.arange(len(z)), chosen[here]] / z.sum(1)
+    return np.log(p.astype(np.float64))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int, rows: int = 64) -> Iterator[pa.RecordBatch]:
@@ -252,7 +272,9 @@ class _Counts:
         self.seen, self.due = np.zeros(shape[0] * shape[1], np.int64), np.zeros(shape, np.int64)
 
     def add(self, rows: list[np.ndarray], p: np.ndarray, chosen: np.ndarray) -> None:
-        p = np.rint(p * np.float32(UNIT)).astype(np.int32)  # the sums of STEP tokens stay within 31 bits
+        """``p`` is overwritten."""
+        np.rint(np.multiply(p, np.float32(UNIT), out=p), out=p)
+        p = p.astype(np.int32)  # the sums of STEP tokens stay within 31 bits
         for r in rows:
             order = np.argsort(r.astype(np.uint16) if self.shape[0] <= 1 << 16 else r, kind="stable")
             at = r[order]
@@ -265,6 +287,9 @@ class _Counts:
 
     def _add_runs(self, p: np.ndarray, order: np.ndarray, at: np.ndarray, first: np.ndarray) -> None:
         """Add the sum of each run's rows: long runs one by one, short ones together, a row of each at a time."""
+        if len(first) == 1:
+            self.due[at[0]] += np.add.reduce(p, axis=0, dtype=np.int32)
+            return
         n = np.diff(np.append(first, len(at)))
         for a, k in zip(first[n > SHORT_RUN].tolist(), n[n > SHORT_RUN].tolist(), strict=True):
             self.due[at[a]] += np.add.reduce(np.take(p, order[a : a + k], axis=0), axis=0, dtype=np.int32)
