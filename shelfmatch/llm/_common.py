@@ -164,7 +164,7 @@ def bucketed(df: DataFrame, by: str, kind: str) -> Iterator[DataFrame]:
 
 
 def _give_back() -> None:
-    """Return to the system what the driver's Python has freed: the C library and Arrow keep it otherwise."""
+    """Return to the system what this Python has freed: the C library and Arrow keep it otherwise."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
     if trim is not None:
@@ -183,9 +183,17 @@ def release(spark: SparkSession, wait: float = 0) -> None:
 
 
 def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` whose function may refer to this package's modules."""
+    """``df.mapInArrow`` whose function may refer to this package's modules. A worker waits for its next task without
+    the memory that a task has freed."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 HOT_PARTS = 256
